@@ -1,9 +1,382 @@
-"""Unbounded n-gram scoring (in the making)."""
+"""Unbounded n-gram scoring over sharded suffix arrays.
+
+The corpus is written once to the shared folder, a file a task: word numbers, and the
+64-bit hash of each number. Its suffix array - here of contexts, read backwards from
+each word - is sharded by the hash of a context's last two words, so all contexts
+that can match each other beyond them meet in one shard, whatever document they come
+from. A shard receives pointers only; it sorts them by ever longer contexts and each
+position, being a query too, is binary-searched into the narrowing intervals of
+training contexts until its longest matching context is found. Interval counts of the
+word that follows, summed over the shard's files, give the continuation estimate.
+
+    p(w | context) = lam[k] * count(context w) / count(context) + (1 - lam[k]) * p1(w)
+
+with the longest context of two words or more that training text has, k its length
+(``CLASSES`` at most) and p1 the add-one unigram, which stands alone where no such
+context exists. lam[k] is the leave-one-out hit rate of contexts of that class over
+all training positions.
+
+Once all training continuations of a context of CLASSES words or more agree, longer
+contexts agree too, so the search stops there without changing the estimate. Where
+they keep disagreeing (a word repeated thousands of times) it goes on to ``HORIZON``
+words.
+
+64-bit hashes stand for words; two words with one hash (a chance of about 3 in a
+million for ten million distinct words) would count as one.
+"""
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shared import as_bytes, fold_of, open_fs, read_table, scratch, slices, written
+
+CLASSES = 6
+HORIZON = 64
+SHARD_WORDS = 1_200_000
+FILE_WORDS = 4_000_000
+_UNIT = 1_000_000  # leave-one-out sums travel as millionths
+_END = np.uint64(0x9E3779B97F4A7C15)
+_R = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _R and of its inverse, at least n of each."""
+    if len(_powers[0]) < n:
+        inverse = np.uint64(pow(int(_R), -1, 1 << 64))
+        for i, r in enumerate((_R, inverse)):
+            x = np.full(max(n, 1 << 16), r, np.uint64)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    return _powers[0], _powers[1]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word ``[^\\x20\\x09-\\x0D]+`` of the A-Z-lowered text, in order."""
+    a = _LOWER[np.frombuffer(raw, np.uint8)]
+    edge = np.diff(np.concatenate([[True], _SPACE[a], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _power(len(a) + 1)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)])
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _pack(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), "zstd", asbytes=True) if len(a) else b""
+
+
+def _unpack(b: bytes, n: int, kind: str) -> np.ndarray:
+    k = np.dtype(kind)
+    return np.frombuffer(pa.decompress(b, n * k.itemsize, "zstd", asbytes=True), k) if n else np.zeros(0, k)
+
+
+class _File:
+    """One task's part of the corpus, memory-mapped where the folder is a local mount."""
+
+    def __init__(self, uri: str, number: int):
+        fs, path = open_fs(uri)
+        load = (lambda k, t: np.asarray(np.memmap(f"{path}/{number}.{k}", t, "r"))) if fs.type_name == "local" else (lambda k, t: np.frombuffer(fs.open_input_file(f"{path}/{number}.{k}").read(), t))
+        self.words, self.hashes, self.starts, self.train = load("words", "<u4"), load("hashes", "<u8"), load("starts", "<i8"), load("train", "u1")
+
+
+def _save(uri: str, number: int, **arrays: np.ndarray) -> None:
+    """Names depend on the task's number only and contents on its rows: another attempt writes the same."""
+    fs, path = open_fs(uri)
+    attempt = TaskContext.get().taskAttemptId()
+    for k, a in arrays.items():
+        with fs.open_output_stream(f"{path}/{number}.{k}.{attempt}") as out:
+            out.write(np.ascontiguousarray(a).data if len(a) else b"\0")
+        fs.move(f"{path}/{number}.{k}.{attempt}", f"{path}/{number}.{k}")
+
+
+def _shard_of(last: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(last + second * _R) >> np.uint64(33)).astype(np.int64) % shards
+
+
+def _positions(words: np.ndarray, hashes: np.ndarray, starts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with two words before them in their text, ordered by shard, and the shards' bounds."""
+    n = len(words)
+    ok = np.ones(n, bool)
+    ok[starts] = False
+    ok[starts[starts + 1 < n] + 1] = False
+    at = np.flatnonzero(ok)
+    shard = _shard_of(hashes[words[at - 1]], hashes[words[at - 2]], shards)
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    return at[order], np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+_SCHEMA = "kind int, shard int, file int, n long, m long, blob binary"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+
+
+def _write_file(uri: str, number: int, held: list[tuple], shards: int) -> Iterator[pa.RecordBatch]:
+    size = np.array([len(h) for _, _, texts in held for h in texts], np.int64)
+    hashes, words = np.unique(np.concatenate([h for _, _, texts in held for h in texts]), return_inverse=True)
+    words = words.astype(np.uint32)
+    starts = np.cumsum(size) - size
+    learn = np.array([x for _, train, _ in held for x in train], bool)
+    _save(uri, number, words=words, hashes=hashes, starts=starts, train=learn.astype(np.uint8))
+    fs, path = open_fs(uri)
+    attempt = TaskContext.get().taskAttemptId()
+    table = pa.table({"id": pa.chunked_array([x for x, _, _ in held])})
+    with fs.open_output_stream(f"{path}/{number}.ids.{attempt}") as sink, pa.ipc.new_file(sink, table.schema) as w:
+        w.write_table(table)
+    fs.move(f"{path}/{number}.ids.{attempt}", f"{path}/{number}.ids")
+    counts = np.bincount(words[np.repeat(learn, size)], minlength=len(hashes)).astype(np.uint32)
+    at, bounds = _positions(words, hashes, starts, shards)
+    order, cut = _word_shards(hashes, shards)
+    for s in range(shards):
+        p, u = at[bounds[s] : bounds[s + 1]], order[cut[s] : cut[s + 1]]
+        found = []
+        if len(p):
+            found.append((0, s, number, len(p), 0, _pack(np.diff(p, prepend=0).astype("<u4"))))
+        if len(u):
+            found.append((1, s, number, len(u), int(counts[u].sum()), _pack(np.concatenate([hashes[u].view("<u4"), counts[u]]))))
+        if found:
+            yield _rows(found)
+
+
+def _word_shards(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    part = (hashes >> np.uint64(33)).astype(np.int64) % shards
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(shards + 1))
+
+
+def _write_corpus(docs: DataFrame, uri: str, shards: int) -> DataFrame:
+    """docs (id, text, train) to files; rows: kind 0 pointers by shard, kind 1 word hashes and training counts by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 10  # room for a thousand files a task
+        held: list[tuple] = []
+        words = 0
+        for batch in batches:
+            for b in slices(batch, limit=1 << 20):
+                texts = [np.append(word_hashes(raw or b""), _END) for raw in as_bytes(b.column("text"))]
+                held.append((b.column("id"), b.column("train").to_pylist(), texts))
+                words += sum(map(len, texts))
+                if words >= FILE_WORDS:
+                    yield from _write_file(uri, number, held, shards)
+                    number, held, words = number + 1, [], 0
+        if held:
+            yield from _write_file(uri, number, held, shards)
+
+    return docs.mapInArrow(run, _SCHEMA)
+
+
+def _count_words(rows: list[tuple]) -> list[tuple]:
+    """Kind 1 rows of one shard: back go each file's words' training counts (kind 3) and the distinct ones (kind 4)."""
+    each = []
+    for _, shard, file, n, _, blob in rows:
+        a = _unpack(blob, 3 * n, "<u4")
+        each.append((shard, file, a[: 2 * n].view("<u8"), a[2 * n :]))
+    keys, where = np.unique(np.concatenate([x[2] for x in each]), return_inverse=True)
+    total = np.bincount(where, np.concatenate([x[3] for x in each]), len(keys)).astype(np.int64)
+    out, at = [(4, each[0][0], -1, int((total > 0).sum()), int(total.sum()), None)], 0
+    for shard, file, h, _ in each:
+        out.append((3, shard, file, len(h), 0, _pack(total[where[at : at + len(h)]].astype("<i8"))))
+        at += len(h)
+    return out
+
+
+def _search(rows: list[tuple], files) -> list[tuple]:
+    """Kind 0 rows of one shard: back go each file's results (kind 2) and the leave-one-out sums by class (kind 5).
+
+    A result is one byte: class * 4 + (0: no continuation agrees, 1: all do, 2: a share, listed after).
+    """
+    at = [np.cumsum(_unpack(r[5], r[3], "<u4").astype(np.int64)) for r in rows]
+    edge = np.concatenate([[0], np.cumsum([len(x) for x in at])])
+    pos = np.concatenate(at)
+    del at
+    n = len(pos)
+    before, train, follows = np.empty(n, np.int32), np.empty(n, bool), np.empty(n, np.uint64)
+    key = np.empty(n, np.uint64)
+    opened = [files(r[2]) for r in rows]
+    for f, a, b in zip(opened, edge, edge[1:]):
+        p = pos[a:b]
+        d = np.searchsorted(f.starts, p, "right") - 1
+        before[a:b], train[a:b] = p - f.starts[d], f.train[d] != 0
+        follows[a:b] = f.hashes[f.words[p]]
+        key[a:b] = mix(f.hashes[f.words[p - 1]] + mix(f.hashes[f.words[p - 2]] + _R))
+    share, kind = np.zeros(n, np.float32), np.zeros(n, np.uint8)
+    left = np.zeros((CLASSES + 1, 2))
+
+    def word(which: np.ndarray, depth: int) -> np.ndarray:
+        """The hash of the word ``depth`` places before each position; positions ascend file by file."""
+        out = np.empty(len(which), np.uint64)
+        for f, a, b in zip(opened, *(np.searchsorted(which, e) for e in (edge[:-1], edge[1:]))):
+            if b > a:
+                out[a:b] = f.hashes[f.words[pos[which[a:b]] - depth]]
+        return out
+
+    def counted(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+        """How many of the sorted keys equal each key: two binary searches."""
+        return np.searchsorted(sorted_keys, keys, "right") - np.searchsorted(sorted_keys, keys, "left")
+
+    now = np.arange(n)
+    k = key
+    held = np.sort(k[train])
+    total = counted(k, held)  # training contexts in each position's interval
+    stay = total > 0
+    now, k, total = now[stay], k[stay], total[stay]
+    depth = 2
+    while len(now):
+        mine = train[now]
+        pair = mix(k + mix(follows[now] + np.uint64(depth)))
+        same = counted(pair, np.sort(pair[mine]))  # of them, those with the same continuation
+        q = same / total
+        # an interval with one continuation only: nothing in it disagrees
+        order = np.argsort(k, kind="stable")
+        first = np.concatenate([[True], k[order][1:] != k[order][:-1]])
+        group = np.cumsum(first) - 1
+        big = np.zeros(group[-1] + 1, np.int64)
+        np.maximum.at(big, group, same[order])
+        pure = np.empty(len(now), bool)
+        pure[order] = big[group] == total[order]
+        level = min(depth, CLASSES)
+        # one word further back
+        further = before[now] > depth
+        nxt = np.zeros(len(now), np.uint64)
+        nxt[further] = mix(k[further] + mix(word(now[further], depth + 1) + np.uint64(depth)))
+        held = np.sort(nxt[mine & further])
+        deeper = np.zeros(len(now), np.int64)
+        deeper[further] = counted(nxt[further], held)
+        settled = (pure & (depth >= CLASSES)) | (depth >= HORIZON)
+        ends = settled | (deeper == 0)
+        done = now[ends]
+        share[done], kind[done] = q[ends], level
+        # leave-one-out: the deepest interval that holds another training context
+        alone = mine & (total > 1) & (settled | (deeper <= 1))
+        left[level] += (float(((same[alone] - 1) / (total[alone] - 1)).sum()), int(alone.sum()))
+        go = ~ends
+        now, k, total = now[go], nxt[go], deeper[go]
+        depth += 1
+    out: list[tuple] = []
+    for r, a, b in zip(rows, edge, edge[1:]):
+        s = share[a:b]
+        code = kind[a:b] * 4 + np.where(kind[a:b] == 0, 0, np.where(s >= 1, 1, np.where(s <= 0, 0, 2))).astype(np.uint8)
+        part = s[code % 4 == 2]
+        out.append((2, r[1], r[2], b - a, len(part), _pack(np.concatenate([code.view(np.uint8), np.ascontiguousarray(part, "<f4").view(np.uint8)]))))
+    out += [(5, rows[0][1], i, int(c), int(s * _UNIT), None) for i, (s, c) in enumerate(left) if c]
+    return out
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of a partition sorted by ``columns``, one list for each value of them."""
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        at = [batch.schema.names.index(c) for c in columns]
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            key = tuple(row[i] for i in at)
+            if held and key != last:
+                yield held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield held
+
+
+def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", train: str = "train", *, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
+
+    ``train`` (boolean, null: false) marks the rows that are learned from. A null or
+    empty text is its end token alone. Repeated rows are learned from and scored
+    each. Without a training row every token is unknown. No row: no result.
+    """
+    spark = df.sparkSession
+    uri = scratch(spark, "ngrams")
+    src = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    kind = src.schema["id"].dataType.simpleString()
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(size / 6 / shard_words))
+    fs, path = open_fs(uri)
+
+    fs.create_dir(f"{path}/corpus", recursive=True)
+    sent = _write_corpus(src, f"{uri}/corpus", shards)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, _File] = {}
+
+        def files(i: int) -> _File:
+            if i not in cache:
+                cache[i] = _File(f"{uri}/corpus", i)
+            return cache[i]
+
+        for rows in _in_runs(batches, ["kind", "shard"]):
+            for x in _search(rows, files) if rows[0][0] == 0 else _count_words(rows):
+                yield _rows([x])
+
+    tasks = max(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = written(sent.repartition(tasks, "kind", "shard").sortWithinPartitions("kind", "shard", "file").mapInArrow(work, _SCHEMA), f"{uri}/found")
+    stats = got.where("kind = 4").agg(F.sum("n"), F.sum("m")).first()
+    distinct, total = stats[0] or 0, stats[1] or 0
+    lam = np.zeros(CLASSES + 1)
+    for r in got.where("kind = 5").groupBy("file").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect():  # a row a class
+        lam[r["file"]] = min(0.98, r["m"] / _UNIT / (r["n"] + 2))
+    unit = math.log10(total + distinct + 1)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_runs(batches, ["file"]):
+            number = rows[0][2]
+            f = _File(f"{uri}/corpus", number)
+            words, hashes, starts = np.asarray(f.words), np.asarray(f.hashes), np.asarray(f.starts)
+            seen = np.zeros(len(hashes), np.int64)
+            order, cut = _word_shards(hashes, shards)
+            at, bounds = _positions(words, hashes, starts, shards)
+            weight, share = np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
+            for what, shard, _, n, m, blob in rows:
+                if what == 3:
+                    seen[order[cut[shard] : cut[shard + 1]]] = _unpack(blob, n, "<i8")
+                else:
+                    raw = _unpack(blob, n + 4 * m, "u1")
+                    code, q = raw[:n], (raw[:n] % 4 == 1).astype(np.float32)
+                    q[code % 4 == 2] = raw[n:].view("<f4") if m else 0
+                    p = at[bounds[shard] : bounds[shard + 1]]
+                    weight[p], share[p] = lam[code // 4], q
+            c = seen[words]
+            base = np.log10(c + 1.0) - unit
+            p = weight * share + (1 - weight) * 10**base
+            score = np.where(weight > 0, np.log10(np.maximum(p, 1e-300)), base)
+            n = np.diff(np.append(starts, len(words)))
+            fs, path = open_fs(f"{uri}/corpus")
+            with fs.open_input_file(f"{path}/{number}.ids") as source:
+                ids = pa.ipc.open_file(source).read_all().column("id").combine_chunks()
+            cols = [ids, pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), total)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    back = got.where("kind in (2, 3)").repartition(max(2, tasks // 2), "file").sortWithinPartitions("file")
+    return back.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op4_unbounded_ngrams(spark, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of("doc_id", 7) != 2).alias("train"))
+    out = score_unbounded(docs)
+    return out.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
