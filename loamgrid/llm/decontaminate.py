@@ -31,10 +31,9 @@ def _plain(text: Column) -> Column:
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
     """All runs of ``width`` words in order, repeats included; a shorter text is one run, no word none."""
-    plain = _plain(text)
-    # at each word start, look ahead over the run: overlapping runs in one pass
-    runs = F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{width - 1}}}))"), F.lit(1))
-    return F.when(F.size(runs) > 0, runs).otherwise(F.when(F.length(plain) > 0, F.array(plain)).otherwise(F.array().cast("array<string>")))
+    # at each word look ahead over the run, then step over the word: one pass, and one expression
+    run = rf"(?=([^ ]++(?: [^ ]++){{{width - 1}}}|^[^ ]++(?: [^ ]++){{0,{max(0, width - 2)}}}+$))[^ ]++ ?"
+    return F.regexp_extract_all(_plain(text), F.lit(run), F.lit(1))
 
 
 def _simhash(hashes: Column) -> Column:
