@@ -1,0 +1,218 @@
+"""Markup: regular expressions for what they can say, table functions for the rest."""
+
+from __future__ import annotations
+
+import base64
+import json
+import re
+import zlib
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: (tag, attribute) of references that render as part of the page.
+RENDER = {("img", "src"), ("script", "src"), ("source", "src"), ("video", "src"), ("video", "poster"), ("audio", "src"), ("iframe", "src"), ("embed", "src"), ("track", "src"), ("object", "data"), ("input", "src")}
+HYPERLINK = {("a", "href"), ("area", "href")}
+RENDER_RELS = {"stylesheet", "icon", "shortcut", "apple-touch-icon", "preload", "modulepreload", "manifest", "mask-icon"}
+META_IMAGES = {"og:image", "og:image:url", "og:image:secure_url", "twitter:image", "og:video", "og:audio"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+CSS_URL = r"url\(\s*['\"]?((?!data:)[^'\")]+?)['\"]?\s*\)"
+CSS_IMPORT = r"@import\s+['\"]([^'\"]+)['\"]"
+#: Absolute, protocol-relative and root-relative URLs inside a larger text.
+SHAPES = (r"(https?://[^\s\"'<>\\)]+)", r"(?<![:\w])(//[\w.-]+\.[a-z]{2,}/[^\s\"'<>\\)]*)", r"[\"'](/[\w./%?=&+~-]+)[\"']")
+
+
+def without_code(html: Column) -> Column:
+    """The markup without scripts, styles and comments, whose text only looks like markup."""
+    return F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
+
+
+def collapsed(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def visible_text(html: Column) -> Column:
+    """Tags become blanks, white space collapses; entities stay as written."""
+    return collapsed(F.regexp_replace(without_code(html), r"(?s)<[^>]*>", " "))
+
+
+def title(html: Column) -> Column:
+    """The first title's text, NULL where there is none."""
+    return F.when(html.rlike(r"(?i)<title[^>]*>"), collapsed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+
+
+def css_references(css: Column) -> Column:
+    """All url(...) values but data ones, then plain imports."""
+    return F.concat(F.regexp_extract_all(css, F.lit(CSS_URL), F.lit(1)), F.regexp_extract_all(css, F.lit(CSS_IMPORT), F.lit(1)))
+
+
+def shaped_strings(text: Column) -> Column:
+    """URL-shaped strings of a script or JSON text, pattern by pattern."""
+    plain = F.replace(text, F.lit("\\/"), F.lit("/"))
+    return F.concat(*[F.regexp_extract_all(plain, F.lit(p), F.lit(1)) for p in SHAPES])
+
+
+def srcset_urls(v: Column) -> Column:
+    return F.transform(F.filter(F.split(v, ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(F.trim(x), r"^(\S+)", 1))
+
+
+def anchors(html: Column) -> Column:
+    """(href, text) of every anchor with an href, in order; regular expressions only."""
+    whole = F.regexp_extract_all(without_code(html), F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r'(?i)href="([^"]*)"', 1).alias("href"), collapsed(F.regexp_replace(a, r"(?s)<[^>]*>", " ")).alias("text")))
+
+
+def json_urls(value) -> Iterator[str]:
+    """URL-shaped leaves of a JSON value, depth first."""
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            todo += reversed(list(x.values()))
+        elif isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, str) and x.strip().startswith(("http://", "https://", "//", "/")):
+            yield x.strip()
+
+
+def bundle_components(url: str) -> list[str]:
+    """Components of a concatenated-assets URL (``/_static/??``): a comma list, or ``-`` and base64 of its zlib form."""
+    head, mark, tail = url.partition("??")
+    if not mark or "/_static/" not in head + "/":
+        return []
+    body = tail.split("&")[0]
+    if body.startswith("-"):
+        try:
+            raw = body[1:].split("?")[0]
+            body = zlib.decompress(base64.b64decode(raw + "=" * (-len(raw) % 4))).decode()
+        except (ValueError, zlib.error):
+            return []
+    return [urljoin(head, x) for x in body.split(",") if x]
+
+
+class _Walker(HTMLParser):
+    def __init__(self, base: str):
+        super().__init__(convert_charrefs=True)
+        self.base, self.out, self.stack, self.text = base, [], [], None
+        self.raw: tuple[str, str] | None = None
+
+    def _add(self, kind: str, context: str, value: str | None, text: str = "") -> None:
+        value = (value or "").strip()
+        if value and not value.lower().startswith(("data:", "javascript:", "mailto:", "tel:", "blob:", "about:", "#")):
+            try:
+                self.out.append([kind, context, value, urljoin(self.base, value), text])
+            except ValueError:
+                pass
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        for k, v in a.items():
+            if (tag, k) in HYPERLINK:
+                self._add("hyperlink", f"{tag}[{k}]", v)
+                if tag == "a":
+                    self.text = (len(self.out) - 1, [], a.get("title") or a.get("aria-label") or "")
+            elif (tag, k) in RENDER:
+                self._add("render", f"{tag}[{k}]", v)
+            elif k in ("srcset", "data-srcset", "imagesrcset"):
+                for x in v.split(","):
+                    self._add("render", f"{tag}[{k}]", x.split()[0] if x.split() else "")
+            elif k == "style":
+                self._css("style-attribute", v)
+            elif k.startswith("data-") and v.strip().startswith(("http://", "https://", "//", "/")):
+                self._add("render", f"{tag}[{k}]", v)
+        if tag == "link" and a.get("href"):
+            rels = set(a.get("rel", "").lower().split())
+            if rels & RENDER_RELS:
+                self._add("render", "link[href]", a["href"])
+            elif "canonical" in rels:
+                self._add("canonical", "link[canonical]", a["href"])
+            elif rels & {"next", "prev", "alternate"}:
+                self._add("hyperlink", "link[href]", a["href"])
+        if tag == "meta" and (a.get("property") or a.get("name") or "").lower() in META_IMAGES:
+            self._add("render", "meta[content]", a.get("content"))
+        if tag == "img" and self.text and a.get("alt"):
+            self.text[1].append(a["alt"])
+        if tag in ("script", "style"):
+            self.raw = (tag, a.get("type", ""))
+
+    def _css(self, context: str, css: str) -> None:
+        for x in [*re.findall(CSS_URL, css), *re.findall(CSS_IMPORT, css)]:
+            self._add("render", context, x)
+
+    def handle_data(self, data: str) -> None:
+        if self.raw and self.raw[0] == "style":
+            self._css("style", data)
+        elif self.raw:
+            try:
+                found = list(json_urls(json.loads(data)))
+            except ValueError:
+                plain = data.replace("\\/", "/")
+                found = [x for p in SHAPES for x in re.findall(p, plain)]
+            for x in found:
+                if not x.endswith("/"):
+                    self._add("render", "script:json" if "json" in self.raw[1] else "script:text", x)
+        elif self.text:
+            self.text[1].append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.raw = None
+        elif tag == "a" and self.text:
+            at, parts, other = self.text
+            if 0 <= at < len(self.out):
+                words = " ".join(" ".join(parts).split()) or other
+                self.out[at][4] = words if len(words) <= 120 else words[:119] + "…"
+            self.text = None
+
+
+def references(html: str | None, base: str | None) -> list[list[str]]:
+    """[kind, context, value, url, text] of every reference of a document, in order."""
+    walker = _Walker(base or "")
+    try:
+        walker.feed(html or "")
+        walker.close()
+    except (AssertionError, ValueError):
+        pass  # what was found before the markup broke
+    return walker.out
+
+
+def extract_references(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, pos, kind, context, value, url, text) by a tolerant parser; Arrow batches in, Arrow batches out."""
+    src = pages.select(F.col(key).alias("key"), F.col(url).alias("base"), F.col(html).alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                rows = [(k, i, *r) for k, u, h in zip(*(c.to_pylist() for c in b.columns)) for i, r in enumerate(references(h, u))]
+                if rows:
+                    cols = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=["key", "pos", "kind", "context", "value", "url", "text"])
+
+    kind = src.schema["key"].dataType.simpleString()
+    return src.mapInArrow(run, f"key {kind}, pos int, kind string, context string, value string, url string, text string").withColumnRenamed("key", key)
+
+
+#: Markup groups that mark a page as made by a plugin.
+PLUGIN_MARKUP = r'(?i)class="[^"]*\b(?:elementor|et_pb_|wp-block-|vc_row|fl-builder|gform_wrapper|wpcf7|ad)\b'
+
+
+def has_form(html: Column) -> Column:
+    return html.rlike(r"(?i)<form[\s>]")
+
+
+def has_plugin_markup(html: Column) -> Column:
+    return html.rlike(PLUGIN_MARKUP)
+
+
+def attachment_body(html: Column) -> Column:
+    return html.rlike(r'(?i)<body[^>]*class="(?:[^"]*\s)?attachment(?:\s[^"]*)?"')
+
+
+def control_characters(s: Column) -> Column:
+    return F.regexp_count(s, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
