@@ -101,20 +101,21 @@ class _Walker(HTMLParser):
         self.base, self.out, self.stack, self.text = base, [], [], None
         self.raw: tuple[str, str] | None = None
 
-    def _add(self, kind: str, context: str, value: str | None, text: str = "") -> None:
+    def _add(self, kind: str, context: str, value: str | None, text: str = "") -> bool:
         value = (value or "").strip()
         if value and not value.lower().startswith(("data:", "javascript:", "mailto:", "tel:", "blob:", "about:", "#")):
             try:
                 self.out.append([kind, context, value, urljoin(self.base, value), text])
+                return True
             except ValueError:
                 pass
+        return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
         for k, v in a.items():
             if (tag, k) in HYPERLINK:
-                self._add("hyperlink", f"{tag}[{k}]", v)
-                if tag == "a":
+                if self._add("hyperlink", f"{tag}[{k}]", v) and tag == "a":
                     self.text = (len(self.out) - 1, [], a.get("title") or a.get("aria-label") or "")
             elif (tag, k) in RENDER:
                 self._add("render", f"{tag}[{k}]", v)

@@ -302,7 +302,7 @@ def retry_after_seconds(v: Column, now: Column) -> Column:
     """Digits are seconds, an HTTP date the time until then (0 at least), anything else NULL."""
     t = F.trim(v)
     at = F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(t.rlike(r"^\d+$"), t.cast("double")).otherwise(F.greatest(F.lit(0.0), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double")))
+    return F.when(t.rlike(r"^\d+$"), t.cast("double")).when(at.isNotNull(), F.greatest(F.lit(0.0), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double")))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -102,7 +102,7 @@ def claim_paths(rows: DataFrame, path: str, key: str, content_hash: str) -> Data
 def prefix_collisions(paths: DataFrame, path: str) -> DataFrame:
     """Paths that are also a folder of another path: ancestors by equi-join, not by comparing all pairs."""
     parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
     folders = paths.select(F.explode(above).alias("folder")).where("folder <> ''").distinct()
     return paths.join(folders, paths[path] == folders["folder"], "left_semi")
 

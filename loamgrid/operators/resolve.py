@@ -13,7 +13,8 @@ def build_lookup(captures: DataFrame, url: str = "url", target: str = "output_pa
 
     ``captures`` has a boolean ``owned``.
     """
-    each = captures.select(F.col(url).alias("url"), F.col(target).alias("target"), F.posexplode(urls.lookup_variants(F.col(url), F.col("owned"))).alias("rank", "spelling"))
+    src = captures.select(F.col(url).alias("url"), F.col(target).alias("target"), "owned")
+    each = src.select("url", "target", F.posexplode(urls.lookup_variants(F.col("url"), F.col("owned"))).alias("rank", "spelling"))
     best = each.groupBy("spelling").agg(F.min(F.struct("rank", "url", "target")).alias("b"))
     return best.select("spelling", F.col("b.url").alias("url"), F.col("b.target").alias("target"))
 
