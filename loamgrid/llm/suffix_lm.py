@@ -43,6 +43,7 @@ CLASSES = 6
 HORIZON = 64
 SHARD_WORDS = 1_200_000
 FILE_WORDS = 4_000_000
+_HALF, _GROUP = np.uint64(24), np.uint64(40)  # a key: 24 bits of an interval's number, 40 of a word's hash
 _UNIT = 1_000_000  # leave-one-out sums travel as millionths
 _END = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD6E8FEB86659FD93)
@@ -215,68 +216,83 @@ def _search(rows: list[tuple], files) -> list[tuple]:
     pos = np.concatenate(at)
     del at
     n = len(pos)
-    before, train, follows = np.empty(n, np.int32), np.empty(n, bool), np.empty(n, np.uint64)
-    key = np.empty(n, np.uint64)
     opened = [files(r[2]) for r in rows]
+    before, train, follows = np.empty(n, np.int32), np.empty(n, bool), np.empty(n, np.uint64)
     for f, a, b in zip(opened, edge, edge[1:]):
         p = pos[a:b]
         d = np.searchsorted(f.starts, p, "right") - 1
         before[a:b], train[a:b] = p - f.starts[d], f.train[d] != 0
-        follows[a:b] = f.hashes[f.words[p]]
-        key[a:b] = mix(f.hashes[f.words[p - 1]] + mix(f.hashes[f.words[p - 2]] + _R))
+        follows[a:b] = f.hashes[f.words[p]] >> _HALF
     share, kind = np.zeros(n, np.float32), np.zeros(n, np.uint8)
     left = np.zeros((CLASSES + 1, 2))
 
     def word(which: np.ndarray, depth: int) -> np.ndarray:
-        """The hash of the word ``depth`` places before each position; positions ascend file by file."""
+        """Of the word ``depth`` places before each position, the upper bits of its hash."""
+        order = np.argsort(which)  # positions ascend file by file
+        ranked = which[order]
         out = np.empty(len(which), np.uint64)
-        for f, a, b in zip(opened, *(np.searchsorted(which, e) for e in (edge[:-1], edge[1:]))):
+        for f, a, b in zip(opened, *(np.searchsorted(ranked, e) for e in (edge[:-1], edge[1:]))):
             if b > a:
-                out[a:b] = f.hashes[f.words[pos[which[a:b]] - depth]]
+                out[order[a:b]] = f.hashes[f.words[pos[ranked[a:b]] - depth]] >> _HALF
         return out
 
+    def grouped(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        return (upper.astype(np.uint64) << _GROUP) | lower
+
     def counted(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-        """How many of the sorted keys equal each key: two binary searches."""
+        """How many of the sorted keys equal each key, by binary search."""
         return np.searchsorted(sorted_keys, keys, "right") - np.searchsorted(sorted_keys, keys, "left")
 
+    # contexts of two words; from here on ``now`` is in suffix-array order and ``group`` numbers its intervals
     now = np.arange(n)
-    k = key
-    held = np.sort(k[train])
-    total = counted(k, held)  # training contexts in each position's interval
-    stay = total > 0
-    now, k, total = now[stay], k[stay], total[stay]
+    key = np.empty(n, np.uint64)
+    for f, a, b in zip(opened, edge, edge[1:]):
+        key[a:b] = mix(f.hashes[f.words[pos[a:b] - 1]] + mix(f.hashes[f.words[pos[a:b] - 2]] + _R))
     depth = 2
-    while len(now):
+    while True:
+        order = np.argsort(key)
+        now, key = now[order], key[order]
+        first = np.empty(len(key), bool)
+        first[:1], first[1:] = True, key[1:] != key[:-1]
+        start = np.flatnonzero(first)
+        if len(start) >= 1 << 24:
+            raise ValueError("a shard has too many contexts: make shard_words smaller")
+        members = np.diff(np.append(start, len(key)))
+        known = np.add.reduceat(train[now].astype(np.int64), start) if len(start) else members
+        # intervals without training text are done: the level before holds for their positions
+        keep = np.repeat(known > 0, members)
+        now, group, total = now[keep], np.repeat(np.arange(len(start)), members)[keep], np.repeat(known, members)[keep]
+        only = np.repeat(members, members)[keep] == total  # no position that is a query alone
+        if not len(now):
+            break
         mine = train[now]
-        pair = mix(k + mix(follows[now] + np.uint64(depth)))
-        same = counted(pair, np.sort(pair[mine]))  # of them, those with the same continuation
-        q = same / total
-        # an interval with one continuation only: nothing in it disagrees
-        order = np.argsort(k, kind="stable")
-        first = np.concatenate([[True], k[order][1:] != k[order][:-1]])
-        group = np.cumsum(first) - 1
-        big = np.zeros(group[-1] + 1, np.int64)
-        np.maximum.at(big, group, same[order])
-        pure = np.empty(len(now), bool)
-        pure[order] = big[group] == total[order]
+        pair = grouped(group, follows[now])
+        same = counted(pair, np.sort(pair[mine]))
+        # an interval has one continuation if one of its training contexts says so
+        sole = group[mine & (same == total)]
+        pure = np.zeros(int(group[-1]) + 1, bool)
+        pure[sole] = True
+        pure = pure[group]
         level = min(depth, CLASSES)
-        # one word further back
-        further = before[now] > depth
-        nxt = np.zeros(len(now), np.uint64)
-        nxt[further] = mix(k[further] + mix(word(now[further], depth + 1) + np.uint64(depth)))
-        held = np.sort(nxt[mine & further])
-        deeper = np.zeros(len(now), np.int64)
-        deeper[further] = counted(nxt[further], held)
         settled = (pure & (depth >= CLASSES)) | (depth >= HORIZON)
-        ends = settled | (deeper == 0)
-        done = now[ends]
-        share[done], kind[done] = q[ends], level
+        # what holds unless a longer context is found
+        share[now], kind[now] = same / total, level
+        far = ~settled & (before[now] > depth)
+        # a training context on its own, which no other position asks about, agrees with itself at any depth
+        lone = far & only & (total == 1)
+        share[now[lone]], kind[now[lone]] = 1, np.minimum(before[now[lone]], CLASSES)
+        go = far & ~lone
+        nxt = grouped(group[go], word(now[go], depth + 1))
+        deeper = np.zeros(len(now), np.int64)
+        deeper[go] = counted(nxt, np.sort(nxt[mine[go]]))
         # leave-one-out: the deepest interval that holds another training context
-        alone = mine & (total > 1) & (settled | (deeper <= 1))
-        left[level] += (float(((same[alone] - 1) / (total[alone] - 1)).sum()), int(alone.sum()))
-        go = ~ends
-        now, k, total = now[go], nxt[go], deeper[go]
+        last = mine & (total > 1) & (settled | (deeper <= 1))
+        left[level] += (float(((same[last] - 1) / (total[last] - 1)).sum()), int(last.sum()))
+        on = deeper[go] > 0
+        now, key = now[go][on], nxt[on]
         depth += 1
+        if not len(now):
+            break
     out: list[tuple] = []
     for r, a, b in zip(rows, edge, edge[1:]):
         s = share[a:b]
