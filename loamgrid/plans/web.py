@@ -258,3 +258,79 @@ def prefix_collisions(spark, sf_dir):
 def site_slugs(spark, sf_dir):
     u = F.col("url")
     return _pages(spark, sf_dir).select("page_id", F.regexp_replace(urls.host(u), r"^www\.", "").alias("bare"), urls.slug(u).alias("slug"))
+
+
+@query(f"WITH {_A}, t AS (SELECT page_id, href AS target FROM links) SELECT 'm-' || sha256('missing' || chr(0) || target)[1:6] AS task_id, 'missing' AS kind, target, count(DISTINCT page_id) AS n_pages FROM t GROUP BY target UNION ALL SELECT 'e-' || sha256('excised' || chr(0) || url)[1:6], 'excised', url, 1 FROM pages WHERE contains(html, 'class=\"ad\"')")
+def owner_tasks(spark, sf_dir):
+    """Links without a page are missing files; pages with an advertisement have content removed."""
+    from ..operators import checklist
+
+    missing = _links(spark, sf_dir).select(F.col("href").alias("target"), F.col("page_id").alias("page"))
+    none = missing.limit(0).select(F.col("target").alias("url"), "page", F.lit("").alias("kind"))
+    cut = _pages(spark, sf_dir).where(F.contains("html", F.lit('class="ad"'))).select(F.col("url").alias("page"), F.lit("other").alias("category"))
+    return checklist.owner_tasks(missing, none, cut).select("task_id", "kind", "target", "n_pages")
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(html, '(?i)</?o:\w+[^>]*>', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS html FROM pages""")
+def markup_repairs(spark, sf_dir):
+    from ..functions import rewrite
+
+    return _pages(spark, sf_dir).select("page_id", rewrite.repair(F.col("html")).alias("html"))
+
+
+@query(r"""SELECT page_id, regexp_replace(html, '(?is)<form\b.*?</form>', '', 'g') AS html, len(regexp_extract_all(html, '(?is)<form\b.*?</form>')) AS n_forms FROM pages""")
+def policy_removals(spark, sf_dir):
+    from ..functions import rewrite
+
+    return _pages(spark, sf_dir).select("page_id", rewrite.apply_policy(F.col("html")).alias("html"), F.size(rewrite.forms(F.col("html"))).cast("bigint").alias("n_forms"))
+
+
+@query(r"""SELECT page_id, regexp_replace(html, '(<a href=")(/[^"]*)"', '\1/site\2.html"', 'g') AS html FROM pages""")
+def rewritten_pages(spark, sf_dir):
+    """Every root-relative link moved below /site."""
+    from ..functions import rewrite
+
+    links = _links(spark, sf_dir).where(F.startswith("href", F.lit("/"))).select("page_id", F.col("href").alias("value"), F.concat(F.lit("/site"), F.col("href"), F.lit(".html")).alias("target"))
+    return rewrite.rewrite_pages(_pages(spark, sf_dir), links)
+
+
+@query(f"WITH {_A}, s AS (SELECT page_id AS page, href AS value, text AS context FROM links), d AS (SELECT DISTINCT page, value, context FROM s), n AS (SELECT *, count(*) OVER (PARTITION BY page, value) AS k FROM d) SELECT page, value, CASE WHEN k > 1 THEN context END AS context FROM n")
+def unresolved_distinct(spark, sf_dir):
+    from ..operators import checklist
+
+    return checklist.unresolved_references(_links(spark, sf_dir).select(F.col("page_id").alias("page"), F.col("href").alias("value"), F.col("text").alias("context")))
+
+
+@query("SELECT CASE WHEN page_id % 3 = 0 THEN 'unread' WHEN page_id % 3 = 1 THEN 'trusted' ELSE 'changed' END AS bucket, count(*) AS n FROM pages GROUP BY 1 UNION ALL SELECT 'new_urls', (WITH " + _A + " SELECT count(DISTINCT href) FROM links WHERE page_id % 3 = 1)")
+def rescan_accounting(spark, sf_dir):
+    from ..operators import checklist
+
+    p = _pages(spark, sf_dir).select(F.col("page_id").alias("url"), F.sha2("html", 256).alias("content_hash"), F.when(F.col("page_id") % 3 == 1, F.sha2("html", 256)).when(F.col("page_id") % 3 == 2, F.lit("other")).alias("bytes_hash"))
+    found = _links(spark, sf_dir).select(F.col("page_id").alias("source"), F.col("href").alias("url"))
+    return checklist.rescan(p, _pages(spark, sf_dir).select("url"), found)
+
+
+@query("SELECT p.page_id, 'shape_mismatch' AS problem FROM pages p WHERE ends_with(p.url, '/') AND p.page_id % 2 = 0 UNION ALL SELECT page_id, 'file_missing' FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'hash_mismatch' FROM pages WHERE page_id % 5 = 1")
+def integrity_findings(spark, sf_dir):
+    from ..operators import checklist
+
+    p = _pages(spark, sf_dir)
+    c = p.select("url", "page_id", F.col("page_id").cast("string").alias("local_path"), F.sha2("html", 256).alias("content_hash"), F.when(F.col("page_id") % 2 == 0, F.lit("Text/Plain; charset=x")).alias("content_type"))
+    files = p.where("page_id % 5 <> 0").select(F.col("page_id").cast("string").alias("path"), F.when(F.col("page_id") % 5 == 1, F.lit("x")).otherwise(F.col("html")).cast("binary").alias("content"))
+    return checklist.integrity(c, files).join(p.select("url", "page_id"), "url").select("page_id", "problem")
+
+
+@query("SELECT b.text AS message, count(*) AS n, count(DISTINCT conv_id) AS n_pages FROM (SELECT conv_id, text[1:12] AS text FROM conversations WHERE role = 'user') b GROUP BY 1")
+def validation_issues(spark, sf_dir):
+    from ..operators import checklist
+
+    m = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", F.lit("error")).otherwise(F.lit("info")).alias("type"), F.substring("text", 1, 12).alias("message"), F.col("conv_id").alias("url"), F.col("text").alias("extract"))
+    return checklist.markup_quirks(m).select("message", "n", "n_pages")
+
+
+@query(f"WITH t AS (SELECT page_id, {_FLAT.format(x=f"regexp_replace({_CODE}, '(?s)<[^>]*>', ' ', 'g')")} AS x, html FROM pages) SELECT count(*) AS n_pages, count(*) FILTER (NOT contains(html, '<article')) AS no_body, count(*) FILTER (NOT regexp_matches(html, '(?i)<form[\\s>]')) AS no_form, count(*) FILTER (contains(html, 'class=\"ad\"')) AS excluded, count(*) FILTER (x = '') AS empty FROM t")
+def search_coverage(spark, sf_dir):
+    from ..operators import checklist, content
+
+    h = F.col("html")
+    return checklist.search_coverage(_pages(spark, sf_dir).select(F.contains(h, F.lit("<article")).alias("has_body"), html.has_form(h).alias("has_form"), F.size(content.words(html.visible_text(h))).alias("n_words"), F.contains(h, F.lit('class="ad"')).alias("excluded")))
