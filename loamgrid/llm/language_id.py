@@ -206,7 +206,7 @@ def identify_language(df: DataFrame, models: LanguageModels, text: str = "text",
     return src.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, models: LanguageModels, text: str = "text", least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, models: LanguageModels, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows, with all their columns, whose language is found with at least ``least``; ``und`` goes."""
     key, schema = models.key, docs.schema
 
