@@ -114,5 +114,21 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_simhash_leaks(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, similarity) of every leak."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_leaks(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return find_leaks(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text")).select("doc_id", "item_id", "similarity")
+
+
+def _sql_shingles(table: str, key: str) -> str:
+    words = f"SELECT {key}, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM {table} WHERE text IS NOT NULL"
+    return f"SELECT {key}, len, pos, array_to_string(w[pos + 1:pos + {WIDTH}], ' ') AS h FROM (SELECT {key}, w, CASE WHEN w = [''] THEN 0 ELSE greatest(len(w) - {WIDTH - 1}, 1) END AS len FROM ({words})), unnest(range(len)) AS u(pos)"
+
+
+#: Every window by plain counting of shared shingles.
+OP6_SQL = f"""WITH d AS ({_sql_shingles('documents', 'doc_id')}), i AS ({_sql_shingles('benchmark', 'item_id')}),
+k AS (SELECT item_id, len AS n, h, count(*) AS times FROM i GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, len, n, pos, h, times, least(len, n) AS size FROM d JOIN k USING (h)),
+s AS (SELECT DISTINCT doc_id, item_id, least(pos, len - size) AS start FROM hits),
+c AS (SELECT doc_id, item_id, start, n, size, h, times, count(*) AS c FROM s JOIN hits USING (doc_id, item_id) WHERE pos >= start AND pos < start + size GROUP BY ALL),
+b AS (SELECT doc_id, item_id, start, n, size, sum(least(c, times))::BIGINT AS shared FROM c GROUP BY ALL)
+SELECT doc_id, item_id, max(shared / (n + size - shared)::DOUBLE) AS similarity FROM b GROUP BY 1, 2 HAVING max(shared / (n + size - shared)::DOUBLE) >= {LEAST}"""

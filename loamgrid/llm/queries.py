@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import op6_simhash_leaks
+from .decontaminate import OP6_SQL, op6_simhash_leaks
 from .language_id import op1_cross_parsing
 from .packing import op7_vector_packing
 from .quality_rules import op2_divergence_rules
@@ -33,5 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: No SQL here: hashes, models, tokenizers and files are outside DuckDB's reach; tests/llm holds brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: Of the others, hashes, models, tokenizers or files are outside DuckDB's reach; tests/llm holds brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op6_simhash_leaks": OP6_SQL}
