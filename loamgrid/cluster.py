@@ -1,13 +1,15 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where the session names none, a new local one (tests)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
@@ -18,3 +20,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def _drop(uri: str) -> None:
+    import pyarrow.fs as pafs
+
+    try:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.delete_dir(path)
+    except (OSError, ValueError):
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and no executor's loss can take them back.
+
+    The table goes when the driver's Python ends.
+    """
+    uri = f"{shared_dir(df.sparkSession)}/loamgrid-cut-{uuid.uuid4().hex}"
+    df.write.parquet(uri)
+    atexit.register(_drop, uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import ensure_checkpoint_dir
+from ..cluster import cut
 
 _S = T.StringType()
 CAPTURE = T.StructType(
@@ -45,8 +45,7 @@ def resolve_aliases(redirects: DataFrame, most: int = 64) -> DataFrame:
     a cycle to the node where it enters. One hop a round for all open chains, with
     the visited nodes carried along; a round's join is by key only.
     """
-    ensure_checkpoint_dir(redirects.sparkSession)
-    edges = redirects.groupBy("from_url").agg(F.min("to_url").alias("to_url"))  # one target a source
+    edges = cut(redirects.groupBy("from_url").agg(F.min("to_url").alias("to_url")))  # one target a source
     step = edges.select(F.col("from_url").alias("__f"), F.col("to_url").alias("__t"))
     open_ = edges.select("from_url", F.col("to_url").alias("at"), F.array("from_url").alias("seen"))
     done = None
@@ -57,7 +56,7 @@ def resolve_aliases(redirects: DataFrame, most: int = 64) -> DataFrame:
         turned = nxt.where(looped).select("from_url", F.col("at").alias("target"), (F.size("seen") - 1).alias("hops"))
         now = ended.unionByName(turned)
         done = now if done is None else done.unionByName(now)
-        open_ = nxt.where(F.col("__t").isNotNull() & ~looped).select("from_url", F.col("__t").alias("at"), F.concat("seen", F.array("at")).alias("seen")).checkpoint()
+        open_ = cut(nxt.where(F.col("__t").isNotNull() & ~looped).select("from_url", F.col("__t").alias("at"), F.concat("seen", F.array("at")).alias("seen")))
         if open_.isEmpty():
             return done
     raise RuntimeError(f"chains of more than {most} redirects")
@@ -65,17 +64,17 @@ def resolve_aliases(redirects: DataFrame, most: int = 64) -> DataFrame:
 
 def reachable(start: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, depth) reached from ``start`` (node) over ``edges`` (src, dst): a frontier a round, anti-joined with what is known."""
-    ensure_checkpoint_dir(start.sparkSession)
-    front = start.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
+    edges = cut(edges.select("src", "dst").distinct())
+    front = cut(start.select("node", F.lit(0).alias("depth")).distinct())
     seen = front
     for i in range(1, most):
         nxt = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = nxt.select("node", F.lit(i).alias("depth")).checkpoint()
+        front = cut(nxt.select("node", F.lit(i).alias("depth")))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
         if i % 8 == 0:
-            seen = seen.checkpoint()
+            seen = cut(seen)
     raise RuntimeError(f"not settled in {most} rounds")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ensure_checkpoint_dir
+from ..cluster import cut
 from ..operators.captures import CAPTURE
 
 INVALID_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]"
@@ -40,15 +40,14 @@ def sitemap_entries(xml: Column) -> tuple[Column, Column]:
 
 def walk_sitemaps(documents: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
     """(url): pages reached from the ``start`` sitemaps (loc) over ``documents`` (loc, xml), each sitemap once."""
-    ensure_checkpoint_dir(documents.sparkSession)
     pages, nested = sitemap_entries(F.col("xml"))
     front = start.select("loc").distinct()
     seen, found = front, None
     for _ in range(most):
-        docs = documents.join(front, "loc", "left_semi").select(pages.alias("p"), nested.alias("n")).checkpoint()
+        docs = cut(documents.join(front, "loc", "left_semi").select(pages.alias("p"), nested.alias("n")))
         here = docs.select(F.explode("p").alias("url"))
         found = here if found is None else found.union(here)
-        front = docs.select(F.explode("n").alias("loc")).distinct().join(seen, "loc", "left_anti").checkpoint()
+        front = cut(docs.select(F.explode("n").alias("loc")).distinct().join(seen, "loc", "left_anti"))
         if front.isEmpty():
             return found.distinct()
         seen = seen.union(front)
