@@ -32,12 +32,15 @@ def _drop(uri: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, and no executor's loss can take them back.
+def new_folder(spark: SparkSession) -> str:
+    """A place for tables below the shared folder; it goes when the driver's Python ends."""
+    uri = f"{shared_dir(spark)}/loamgrid-cut-{uuid.uuid4().hex}"
+    atexit.register(_drop, uri)
+    return uri
+
 
-    The table goes when the driver's Python ends.
-    """
-    uri = f"{shared_dir(df.sparkSession)}/loamgrid-cut-{uuid.uuid4().hex}"
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and no executor's loss can take them back."""
+    uri = new_folder(df.sparkSession)
     df.write.parquet(uri)
-    atexit.register(_drop, uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import cut
+from ..cluster import cut, new_folder
 
 _S = T.StringType()
 CAPTURE = T.StructType(
@@ -62,19 +62,23 @@ def resolve_aliases(redirects: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError(f"chains of more than {most} redirects")
 
 
-def reachable(start: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth) reached from ``start`` (node) over ``edges`` (src, dst): a frontier a round, anti-joined with what is known."""
+def reachable(start: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(node, depth) reached from ``start`` (node) over ``edges`` (src, dst).
+
+    A frontier a round, anti-joined with all that is known. Each frontier is written
+    below one folder, by depth, so what is known is that folder, whatever the rounds.
+    """
+    spark = start.sparkSession
     edges = cut(edges.select("src", "dst").distinct())
-    front = cut(start.select("node", F.lit(0).alias("depth")).distinct())
-    seen = front
+    uri = new_folder(spark)
+    schema = start.select("node").schema.add("depth", T.IntegerType())
+    start.select("node").distinct().write.parquet(f"{uri}/depth=0")
     for i in range(1, most):
-        nxt = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = cut(nxt.select("node", F.lit(i).alias("depth")))
+        front = spark.read.schema(start.select("node").schema).parquet(f"{uri}/depth={i - 1}")
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-        if i % 8 == 0:
-            seen = cut(seen)
+            return spark.read.schema(schema).parquet(uri)
+        seen = spark.read.schema(schema).parquet(uri).select("node")
+        front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").write.parquet(f"{uri}/depth={i}")
     raise RuntimeError(f"not settled in {most} rounds")
 
 
