@@ -21,6 +21,9 @@ contexts agree too, so the search stops there without changing the estimate. Whe
 they keep disagreeing (a word repeated thousands of times) it goes on to ``HORIZON``
 words.
 
+Equal texts of a file are stored once with a weight, so a group of copies, however
+large, puts few positions into a shard.
+
 64-bit hashes stand for words; two words with one hash (a chance of about 3 in a
 million for ten million distinct words) would count as one.
 """
@@ -100,7 +103,8 @@ class _File:
     def __init__(self, uri: str, number: int):
         fs, path = open_fs(uri)
         load = (lambda k, t: np.asarray(np.memmap(f"{path}/{number}.{k}", t, "r"))) if fs.type_name == "local" else (lambda k, t: np.frombuffer(fs.open_input_file(f"{path}/{number}.{k}").read(), t))
-        self.words, self.hashes, self.starts, self.train = load("words", "<u4"), load("hashes", "<u8"), load("starts", "<i8"), load("train", "u1")
+        self.words, self.hashes, self.starts = load("words", "<u4"), load("hashes", "<u8"), load("starts", "<i8")
+        self.weight, self.rows = load("weight", "<u4"), load("rows", "<i4")
 
 
 def _save(uri: str, number: int, **arrays: np.ndarray) -> None:
@@ -138,19 +142,25 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _write_file(uri: str, number: int, held: list[tuple], shards: int) -> Iterator[pa.RecordBatch]:
-    size = np.array([len(h) for _, _, texts in held for h in texts], np.int64)
-    hashes, words = np.unique(np.concatenate([h for _, _, texts in held for h in texts]), return_inverse=True)
+    # equal texts of a file are one text with a weight, so a group of copies costs a text a file
+    texts: dict[bytes, int] = {}
+    rows = np.array([texts.setdefault(h.tobytes(), len(texts)) for _, _, parts in held for h in parts], np.int32)
+    learn = np.array([x for _, train, _ in held for x in train], bool)
+    weight = np.bincount(rows[learn], minlength=len(texts)).astype(np.uint32)
+    parts = [np.frombuffer(x, np.uint64) for x in texts]
+    size = np.array([len(h) for h in parts], np.int64)
+    hashes, words = np.unique(np.concatenate(parts), return_inverse=True)
+    del texts, parts
     words = words.astype(np.uint32)
     starts = np.cumsum(size) - size
-    learn = np.array([x for _, train, _ in held for x in train], bool)
-    _save(uri, number, words=words, hashes=hashes, starts=starts, train=learn.astype(np.uint8))
+    _save(uri, number, words=words, hashes=hashes, starts=starts, weight=weight, rows=rows)
     fs, path = open_fs(uri)
     attempt = TaskContext.get().taskAttemptId()
     table = pa.table({"id": pa.chunked_array([x for x, _, _ in held])})
     with fs.open_output_stream(f"{path}/{number}.ids.{attempt}") as sink, pa.ipc.new_file(sink, table.schema) as w:
         w.write_table(table)
     fs.move(f"{path}/{number}.ids.{attempt}", f"{path}/{number}.ids")
-    counts = np.bincount(words[np.repeat(learn, size)], minlength=len(hashes)).astype(np.uint32)
+    counts = np.bincount(words, np.repeat(weight, size), len(hashes)).astype(np.uint32)
     at, bounds = _positions(words, hashes, starts, shards)
     order, cut = _word_shards(hashes, shards)
     for s in range(shards):
@@ -217,11 +227,11 @@ def _search(rows: list[tuple], files) -> list[tuple]:
     del at
     n = len(pos)
     opened = [files(r[2]) for r in rows]
-    before, train, follows = np.empty(n, np.int32), np.empty(n, bool), np.empty(n, np.uint64)
+    before, weight, follows = np.empty(n, np.int32), np.empty(n, np.int64), np.empty(n, np.uint64)
     for f, a, b in zip(opened, edge, edge[1:]):
         p = pos[a:b]
         d = np.searchsorted(f.starts, p, "right") - 1
-        before[a:b], train[a:b] = p - f.starts[d], f.train[d] != 0
+        before[a:b], weight[a:b] = p - f.starts[d], f.weight[d]
         follows[a:b] = f.hashes[f.words[p]] >> _HALF
     share, kind = np.zeros(n, np.float32), np.zeros(n, np.uint8)
     left = np.zeros((CLASSES + 1, 2))
@@ -239,9 +249,11 @@ def _search(rows: list[tuple], files) -> list[tuple]:
     def grouped(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
         return (upper.astype(np.uint64) << _GROUP) | lower
 
-    def counted(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-        """How many of the sorted keys equal each key, by binary search."""
-        return np.searchsorted(sorted_keys, keys, "right") - np.searchsorted(sorted_keys, keys, "left")
+    def counted(keys: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weight of the training keys that equal each key, by binary search."""
+        order = np.argsort(of)
+        ranked, run = of[order], np.concatenate([[0], np.cumsum(weights[order])])
+        return run[np.searchsorted(ranked, keys, "right")] - run[np.searchsorted(ranked, keys, "left")]
 
     # contexts of two words; from here on ``now`` is in suffix-array order and ``group`` numbers its intervals
     now = np.arange(n)
@@ -258,16 +270,17 @@ def _search(rows: list[tuple], files) -> list[tuple]:
         if len(start) >= 1 << 24:
             raise ValueError("a shard has too many contexts: make shard_words smaller")
         members = np.diff(np.append(start, len(key)))
-        known = np.add.reduceat(train[now].astype(np.int64), start) if len(start) else members
+        known = np.add.reduceat(weight[now], start) if len(start) else members
         # intervals without training text are done: the level before holds for their positions
         keep = np.repeat(known > 0, members)
         now, group, total = now[keep], np.repeat(np.arange(len(start)), members)[keep], np.repeat(known, members)[keep]
-        only = np.repeat(members, members)[keep] == total  # no position that is a query alone
+        only = np.repeat(members, members)[keep] == 1  # no other position asks about it
         if not len(now):
             break
-        mine = train[now]
+        own = weight[now]
+        mine = own > 0
         pair = grouped(group, follows[now])
-        same = counted(pair, np.sort(pair[mine]))
+        same = counted(pair, pair[mine], own[mine])
         # an interval has one continuation if one of its training contexts says so
         sole = group[mine & (same == total)]
         pure = np.zeros(int(group[-1]) + 1, bool)
@@ -284,10 +297,10 @@ def _search(rows: list[tuple], files) -> list[tuple]:
         go = far & ~lone
         nxt = grouped(group[go], word(now[go], depth + 1))
         deeper = np.zeros(len(now), np.int64)
-        deeper[go] = counted(nxt, np.sort(nxt[mine[go]]))
+        deeper[go] = counted(nxt, nxt[mine[go]], own[go][mine[go]])
         # leave-one-out: the deepest interval that holds another training context
         last = mine & (total > 1) & (settled | (deeper <= 1))
-        left[level] += (float(((same[last] - 1) / (total[last] - 1)).sum()), int(last.sum()))
+        left[level] += (float((own[last] * (same[last] - 1) / (total[last] - 1)).sum()), int(own[last].sum()))
         on = deeper[go] > 0
         now, key = now[go][on], nxt[on]
         depth += 1
@@ -385,7 +398,9 @@ def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
             fs, path = open_fs(f"{uri}/corpus")
             with fs.open_input_file(f"{path}/{number}.ids") as source:
                 ids = pa.ipc.open_file(source).read_all().column("id").combine_chunks()
-            cols = [ids, pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), total)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts))]
+            each = np.asarray(f.rows)
+            sums = (n, np.add.reduceat((c > 0).astype(np.int64), starts), np.full(len(n), total), np.add.reduceat(base, starts), np.add.reduceat(score, starts))
+            cols = [ids, *[pa.array(x[each]) for x in sums]]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     back = got.where("kind in (2, 3)").repartition(max(2, tasks // 2), "file").sortWithinPartitions("file")

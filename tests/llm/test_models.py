@@ -74,7 +74,7 @@ def test_scores_as_by_dictionaries(spark, shard_words):
         if i % 7 == 0:
             w += ["Again"] * 90
         rows.append((i, " ".join(w) if i else None, i % 4 != 0))
-    rows.append((60, rows[5][1], True))
+    rows += [(60, rows[5][1], True), *[(61 + i, rows[9][1], i % 3 > 0) for i in range(12)], (80, rows[8][1], False)]
     d = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
     got = {r["doc_id"]: r for r in lm.score_unbounded(d, shard_words=shard_words).collect()}
     for (i, _, _), want in zip(rows, naive_scores(rows)):
