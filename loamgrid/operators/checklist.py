@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CATEGORIES = ("comment", "password", "newsletter", "search", "other")
 
 
-def unresolved_references(samples: DataFrame, unresolved: int | None = None) -> DataFrame:
+def unresolved_references(samples: DataFrame) -> DataFrame:
     """Distinct (page, value, context); the context only where a page has the value more than once."""
     d = samples.select("page", "value", "context").distinct()
     n = F.count("*").over(Window.partitionBy("page", "value"))
