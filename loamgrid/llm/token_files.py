@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import open_fs, read_table, scratch, slices, written
+from ._shared import open_fs, read_table, scratch, slices, take_turn, written
 from .tokens import default_vocabulary, encoder
 
 ROW = 2048
@@ -102,11 +102,10 @@ def write_token_files(df: DataFrame, uri: str, vocabulary: str, *, end_id: int =
     spark = df.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    # one text's length bounds a sort key: hashes order the rows of one id
+    # rows of one id are ordered by their texts' hashes first
     ordered = src.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"), "text")
-    kind = src.schema["id"].dataType
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("tokens")
         enc = encoder(vocabulary)
         task = TaskContext.get()
         fs, path = open_fs(uri)
@@ -134,7 +133,6 @@ def write_token_files(df: DataFrame, uri: str, vocabulary: str, *, end_id: int =
                 w.write_table(table)
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([name]), pa.array([len(starts)], pa.int64()), pa.array([out.total], pa.int64())], names=["file", "path", "docs", "ids"])
 
-    assert kind is not None
     return written(ordered.mapInArrow(run, "file long, path string, docs long, ids long"), uri + "-list")
 
 

@@ -1,5 +1,4 @@
 import corpus_pipeline as cp
-import numpy as np
 from test_similarity import naive_components, naive_fingerprint, naive_leaks
 
 from loamgrid.llm import secret_scan
@@ -30,4 +29,3 @@ def test_stages_keep_columns(spark):
         assert out.columns == d.columns, name
         out.collect()
         assert stage(spark, d.limit(0), b).count() == 0
-    assert np is not None
