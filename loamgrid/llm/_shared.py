@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,21 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def keeper(name: str, clear: Callable[[], None]) -> None:
+    """Names a cache that Python workers keep from task to task."""
+    _keepers[name] = clear
+
+
+def take_turn(name: str = "") -> None:
+    """Called where an operator's task begins: a worker that served another operator lets go of that one's cache."""
+    for k, clear in _keepers.items():
+        if k != name:
+            clear()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; where the session names none, a new local one (tests)."""
     sc = spark.sparkContext

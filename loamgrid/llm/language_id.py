@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fold_of, sample_by_label, slices
+from ._shared import fold_of, keeper, sample_by_label, slices, take_turn
 
 BLOCK = 256
 SYMBOLS = 64
@@ -132,6 +132,9 @@ def _compiled(key: tuple) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float
     return table, out
 
 
+keeper("language", _compiled.cache_clear)
+
+
 def _phrases(parts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     """Phrases of each text (row) under each table (column); a block's last phrase ends with it."""
     n = np.array([len(p) for p in parts], np.int64)
@@ -194,6 +197,7 @@ def identify_language(df: DataFrame, models: LanguageModels, text: str = "text",
     fields = [src.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("language")
         for batch in batches:
             for b in slices(batch, "__text"):
                 lang, score, bits = score_texts(b.column("__text").to_pylist(), key)
@@ -211,6 +215,7 @@ def keep_identified(docs: DataFrame, models: LanguageModels, text: str = "text",
     key, schema = models.key, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("language")
         for batch in batches:
             for b in slices(batch, text):
                 lang, score, _ = score_texts(b.column(text).to_pylist(), key)

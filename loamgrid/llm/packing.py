@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import read_table, slices
+from ._shared import read_table, slices, take_turn
 from .tokens import default_vocabulary, encoder
 
 WINDOW = 8192
@@ -88,6 +88,7 @@ def pack_documents(df: DataFrame, vocabulary: str, text: str = "text", id_col: s
     size = min(limits.tokens, int(limits.loss / loss_share) if loss_share else limits.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("tokens")
         enc = encoder(vocabulary)
         sequence = TaskContext.get().partitionId() << 33
         rests: list[tuple] = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, slices
+from ._shared import as_bytes, slices, take_turn
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -119,6 +119,7 @@ def scan_secrets(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     src = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn()
         for batch in batches:
             for b in slices(batch):
                 rows = []
@@ -150,6 +151,7 @@ def redact_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars"
     at, size = names.index(text), names.index(chars) if chars in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn()
         for batch in batches:
             for b in slices(batch, text):
                 old = as_bytes(b.column(at))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import as_bytes, attach, read_table, scratch, slices, written
+from ._shared import as_bytes, attach, read_table, scratch, slices, take_turn, written
 
 RADIUS = 2
 SEGMENTS = 5
@@ -64,6 +64,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "__fp") -> D
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn()
         for batch in batches:
             for b in slices(batch, text):
                 fp = pa.array([fingerprint(x) for x in as_bytes(b.column(text))], pa.int64())
