@@ -24,16 +24,30 @@ RADIUS = 23
 BROADCAST_ROWS = 1_000_000
 
 
-def _plain(text: Column) -> Column:
-    """Lower-cased words with one space between."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def shingles(text: Column, width: int = WIDTH) -> Column:
-    """All runs of ``width`` words in order, repeats included; a shorter text is one run, no word none."""
-    # at each word look ahead over the run, then step over the word: one pass, and one expression
-    run = rf"(?=([^ ]++(?: [^ ]++){{{width - 1}}}|^[^ ]++(?: [^ ]++){{0,{max(0, width - 2)}}}+$))[^ ]++ ?"
-    return F.regexp_extract_all(_plain(text), F.lit(run), F.lit(1))
+def n_shingles(w: Column, width: int = WIDTH) -> Column:
+    """A run of ``width`` words from each word on, repeats included; a shorter text is one run, no word none."""
+    return F.greatest(F.size(w) - (width - 1), F.least(F.size(w), F.lit(1)))
+
+
+def shingles(w: Column, width: int = WIDTH) -> Column:
+    """The runs as structs of words, NULL beyond a shorter text's end."""
+    return F.arrays_zip(*[F.slice(w, F.lit(i + 1), n_shingles(w, width)).alias(f"w{i}") for i in range(width)])
+
+
+def _hash(shingle: Column, width: int) -> Column:
+    return F.xxhash64(*[shingle[f"w{i}"] for i in range(width)])
+
+
+def _hashed(df: DataFrame, keys: list[str], name: str, width: int) -> DataFrame:
+    """``keys`` and the hashes of the text's shingles, in order."""
+    w = df.select(*keys, words(F.col("text")).alias("__w"))
+    return w.select(*keys, F.transform(shingles(F.col("__w"), width), lambda s: _hash(s, width)).alias(name))
 
 
 def _simhash(hashes: Column) -> Column:
@@ -62,7 +76,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     different texts each; a null doc_id stays null. No item or no document: no rows.
     """
     uri = scratch(docs.sparkSession, "leaks")
-    names = benchmark.select("item_id", F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s)).alias("h")).where(F.size("h") > 0)
+    names = _hashed(benchmark.where(F.col("text").isNotNull()), ["item_id"], "h", width).where(F.size("h") > 0)
     items = names.groupBy("h").agg(F.min("item_id").alias("item"), F.collect_set("item_id").alias("names"))
     items = written(items.select("item", "names", "h", F.size("h").alias("n"), _simhash(F.col("h")).alias("fp")), f"{uri}/items")
     known = written(items.select("item", "n", F.explode("h").alias("h")).groupBy("h", "item", "n").agg(F.count("*").alias("times")), f"{uri}/known")
@@ -70,9 +84,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     few = keys.count() <= BROADCAST_ROWS
 
     # every shingle of every document against the items' shingles; what stays is small
-    runs = shingles(F.col("text"), width)
-    flat = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), runs.alias("s"))
-    flat = flat.select("doc_id", "t", F.size("s").alias("len"), F.posexplode("s").alias("at", "s")).select("doc_id", "t", "len", "at", F.xxhash64("s").alias("h"))
+    flat = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
+    flat = flat.select("doc_id", "t", n_shingles(F.col("w"), width).alias("len"), F.posexplode(shingles(F.col("w"), width)).alias("at", "s"))
+    flat = flat.select("doc_id", "t", "len", "at", _hash(F.col("s"), width).alias("h"))
     hits = written(flat.join(F.broadcast(keys) if few else keys, "h", "left_semi").distinct(), f"{uri}/hits")
 
     # a window can slide right to its first shared shingle without losing one, so windows start at hits
@@ -89,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     mine = windows.select(F.col("doc_id").alias("d"), F.col("t").alias("u")).distinct()
     text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
     text = text.join(mine, text["doc_id"].eqNullSafe(mine["d"]) & (text["t"] == mine["u"]), "left_semi").groupBy("doc_id", "t").agg(F.any_value("text").alias("text"))
-    whole = text.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s)).alias("all"))
+    whole = _hashed(text, ["doc_id", "t"], "all", width).select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "all")
     cut = windows.join(whole, windows["doc_id"].eqNullSafe(whole["d"]) & (windows["t"] == whole["u"])).select("doc_id", "t", "item", "n", "size", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("w"))
     cut = cut.withColumn("wfp", _simhash(F.col("w")))
     blocks = radius + 1  # more blocks than differing bits: one block is equal
