@@ -49,7 +49,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: A text that holds an added token is left to the library as well.
+        self.unsafe = (*_UNSAFE, *(x.content for x in self.tokenizer.get_added_tokens_decoder().values()))
+        self.parts: dict[str, bool] = {}
         self.index = _Index()
         self.index.waiting = []
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -64,13 +66,20 @@ class PieceEncoder:
             self.start, self.size = np.resize(self.start, size), np.resize(self.size, size)
             self.met = np.concatenate([self.met, np.zeros(size - len(self.met), np.int64)])
 
+    def _parts(self, c: str) -> bool:
+        """Whether the pre-tokenizer cuts between this character and a mark: behind letters and digits, not in a run of marks."""
+        if c not in self.parts:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.parts[c] = len(cut(c + ".")) > len(cut(c))
+        return self.parts[c]
+
     def _learn(self) -> None:
-        """Encodes the pieces that wait; a word that ends in marks is put together from the word and the marks."""
+        """Encodes the pieces that wait; a word whose last letter or digit is followed by marks is put together from the word and the marks."""
         index = self.index
         pieces, index.waiting = index.waiting, []
         at = np.arange(len(index) - len(pieces), len(index))
         ends = [len(x.rstrip(_MARKS)) for x in pieces]
-        joint = np.fromiter((1 < n < len(x) for x, n in zip(pieces, ends)), bool, len(pieces))
+        joint = np.fromiter((1 < n < len(x) and self._parts(x[n - 1]) for x, n in zip(pieces, ends)), bool, len(pieces))
         words, marks = [index[x[:n]] for x, n, j in zip(pieces, ends, joint) if j], [index[_BARE + x[n:]] for x, n, j in zip(pieces, ends, joint) if j]
         alone = [x for x, j in zip(pieces, joint) if not j] + index.waiting
         number = np.concatenate([at[~joint], np.arange(len(index) - len(index.waiting), len(index))])
@@ -117,7 +126,7 @@ class PieceEncoder:
         get = self.index.__getitem__
         at: list[np.ndarray | None] = []
         for t in texts:
-            if not t or any(x in t for x in _UNSAFE):
+            if not t or any(x in t for x in self.unsafe):
                 at.append(None)
                 continue
             p = (_BARE + t.replace("\n", _CUT)).split(" ")
