@@ -128,3 +128,51 @@ def test_op6_has_no_python(spark, small):
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     assert {(r["doc_id"], r["item_id"]) for r in df.collect()} == set(naive_leaks(docs, items))
+
+
+def test_blocks_miss_no_fingerprint_within_the_radius(spark):
+    rng = random.Random(8)
+    items = [(j, 20 + j % 3, rng.getrandbits(64)) for j in range(60)]
+    windows = []
+    for j, (_, n, fp) in enumerate(items):
+        for k in range(25):  # 0 to 24 bits away
+            x = fp
+            for b in rng.sample(range(64), k):
+                x ^= 1 << b
+            windows.append((j * 100 + k, n, x))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = spark.createDataFrame([(i, n, signed(x)) for i, n, x in windows], "w long, n int, wfp long")
+    b = spark.createDataFrame([(i, n, signed(x)) for i, n, x in items], "item long, n int, fp long")
+    got = {(r["w"], r["item"], r["distance"]) for r in dc.near_items(w, b).collect()}
+    want = {(i, j, (x ^ y).bit_count()) for i, n, x in windows for j, m, y in items if n == m and (x ^ y).bit_count() <= dc.RADIUS}
+    assert got == want and len(want) >= 60 * 18
+    # a random fingerprint meets about a fifth of the items of its length
+    met = sum(any(((x ^ y) >> at & (1 << bits) - 1).bit_count() <= dc.RADIUS // dc.BLOCKS for at, bits in dc._layout(dc.BLOCKS)) for _, _, x in windows[:200] for _, _, y in items[20:])
+    assert met < 0.3 * 200 * 40
+
+
+def test_radius_holds_the_similarity(spark):
+    """Recall of the fingerprints against exact similarity, over items with words changed here and there."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    items = [(j, " ".join(word() for _ in range(rng.randint(20, 90)))) for j in range(36)]
+    docs = []
+    for j, t in items:
+        for k in range(4):
+            w = t.split()
+            for at in rng.sample(range(len(w)), max(1, len(w) * k // 100)):
+                w[at] = word()
+            docs.append((j * 10 + k, f"{word()} {' '.join(w)} {word()}"))
+    want = naive_leaks(docs, items)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and len(want) > 100 and len(got) >= 0.98 * len(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_leaks_of_ties_repeats_and_long_texts(spark):
+    t = "one two three four five six seven eight nine ten"
+    long = "filler words of no use " * 1000
+    docs = [(1, f"{t} and again {t}", "a", 1), (1, f"{t} and again {t}", "b", 2), (2, long + t + " " + long, "c", 3), (None, t, "d", 4), (3, t.upper(), "e", 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string, start int")
+    got = sorted(((r["doc_id"] or 0), r["item_id"], r["similarity"], r["distance"], r["start"]) for r in dc.find_leaks(d, spark.createDataFrame([(9, t, 0)], "item_id long, text string, n int")).collect())
+    assert got == [(0, 9, 1.0, 0, 0), (1, 9, 1.0, 0, 0), (2, 9, 1.0, 0, 5000), (3, 9, 1.0, 0, 0)]
