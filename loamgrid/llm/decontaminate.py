@@ -61,22 +61,18 @@ def _hashed(df: DataFrame, keys: list[str], name: str, width: int) -> DataFrame:
 
 
 _LANES = (1 << 32) | 1
-_NUMBERS = [f"__s{i}" for i in range(32)]
 
 
-def _lane_sums(h: Column) -> list[Column]:
-    """How often each bit is set, as 32 sums of two 32-bit lanes: bits i and i + 32."""
-    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))).alias(n) for i, n in enumerate(_NUMBERS)]
+def _lane_sums(h: str) -> Column:
+    """How often each bit of ``h`` is set, as 32 sums of two 32-bit lanes: bits i and i + 32."""
+    return F.expr("struct(" + ", ".join(f"sum(shiftrightunsigned({h}, {i}) & {_LANES}L) AS s{i}" for i in range(32)) + ")")
 
 
-def _simhash(size: Column) -> Column:
+def _simhash(sums: str, size: str) -> Column:
     """64-bit SimHash of ``size`` hashes from their lane sums: a bit is 1 if it is set in over half of them."""
-    low, zero = (1 << 32) - 1, F.lit(0).cast("long")
-    out = zero
-    for i, n in enumerate(_NUMBERS):
-        out = out.bitwiseOR(F.when(2 * F.col(n).bitwiseAND(F.lit(low)) > size, F.lit(1 << i)).otherwise(zero))
-        out = out.bitwiseOR(F.when(2 * F.shiftrightunsigned(n, 32) > size, F.lit(1 << (i + 32) if i < 31 else -(1 << 63))).otherwise(zero))
-    return out
+    low = " | ".join(f"if(2 * ({sums}.s{i} & {(1 << 32) - 1}L) > {size}, {1 << i}L, 0L)" for i in range(32))
+    high = " | ".join(f"if(2 * shiftrightunsigned({sums}.s{i}, 32) > {size}, {1 << i}L, 0L)" for i in range(32))
+    return F.expr(f"({low}) | shiftleft({high}, 32)")
 
 
 def _layout(blocks: int) -> list[tuple[int, int]]:
@@ -85,21 +81,22 @@ def _layout(blocks: int) -> list[tuple[int, int]]:
     return [(sum(size[:i]), s) for i, s in enumerate(size)]
 
 
-def _blocks(fp: Column, blocks: int, flips: int = 0) -> Column:
+def _blocks(fp: str, blocks: int, flips: int = 0) -> Column:
     """(i, v) of every block and of every value within ``flips`` bits of it."""
-    out = []
-    for i, (at, bits) in enumerate(_layout(blocks)):
-        v = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        for n in range(min(flips, bits) + 1):
-            out += [F.struct(F.lit(i).alias("i"), v.bitwiseXOR(F.lit(sum(1 << b for b in c)).cast("long")).alias("v")) for c in combinations(range(bits), n)]
-    return F.array(*out)
+
+    def spread(i: int, at: int, bits: int) -> str:
+        v = f"shiftrightunsigned({fp}, {at}) & {(1 << bits) - 1}L"
+        masks = [sum(1 << b for b in c) for n in range(min(flips, bits) + 1) for c in combinations(range(bits), n)]
+        return f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> struct({i} AS i, ({v}) ^ m AS v))"
+
+    return F.expr(f"flatten(array({', '.join(spread(i, *x) for i, x in enumerate(_layout(blocks)))}))")
 
 
 def window_fingerprints(windows: DataFrame, whole: DataFrame) -> DataFrame:
     """``windows`` (d, u, n, size, start) with the fingerprint ``wfp`` of the hashes of ``whole`` (d, u, all)."""
     keys = ["d", "u", "n", "size", "start"]
     each = _of_documents(windows, whole).select(*keys, F.explode(F.slice("all", F.col("start") + 1, F.col("size"))).alias("h"))
-    return each.groupBy(*keys).agg(*_lane_sums(F.col("h"))).select(*keys, _simhash(F.col("size")).alias("wfp"))
+    return each.groupBy(*keys).agg(_lane_sums("h").alias("s")).select(*keys, _simhash("s", "size").alias("wfp"))
 
 
 def _of_documents(rows: DataFrame, whole: DataFrame) -> DataFrame:
@@ -112,8 +109,8 @@ def near_items(windows: DataFrame, items: DataFrame, radius: int = RADIUS, block
 
     ``windows``: any columns, ``n`` and ``wfp``; ``items``: item, n, fp.
     """
-    a = windows.withColumn("__b", F.explode(_blocks(F.col("wfp"), blocks)))
-    b = items.select("item", "n", "fp", F.explode(_blocks(F.col("fp"), blocks, radius // blocks)).alias("__b"))
+    a = windows.withColumn("__b", F.explode(_blocks("wfp", blocks)))
+    b = items.select("item", "n", "fp", F.explode(_blocks("fp", blocks, radius // blocks)).alias("__b"))
     near = a.join(b, ["n", "__b"]).withColumn("distance", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))).where(F.col("distance") <= radius)
     return near.select(*windows.columns, "item", "distance").distinct()
 
@@ -134,8 +131,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     uri = scratch(docs.sparkSession, "leaks")
     names = _hashed(benchmark.where(F.col("text").isNotNull()), ["item_id"], "h", width).where(F.size("h") > 0)
     items = written(names.groupBy("h").agg(F.min("item_id").alias("item"), F.collect_set("item_id").alias("names")), f"{uri}/texts")
-    sums = items.select("item", F.size("h").alias("n"), F.explode("h").alias("h")).groupBy("item", "n").agg(*_lane_sums(F.col("h")))
-    marks = written(sums.select("item", "n", _simhash(F.col("n")).alias("fp")), f"{uri}/items")
+    sums = items.select("item", F.size("h").alias("n"), F.explode("h").alias("h")).groupBy("item", "n").agg(_lane_sums("h").alias("s"))
+    marks = written(sums.select("item", "n", _simhash("s", "n").alias("fp")), f"{uri}/items")
     known = written(items.select("item", F.size("h").alias("n"), F.explode("h").alias("h")).groupBy("h", "item", "n").agg(F.count("*").alias("times")), f"{uri}/known")
     lengths = known.select("h", "n").distinct()
     few = known.count() <= BROADCAST_ROWS
