@@ -5,6 +5,11 @@ pass; only at its hits is an expression tried, anchored there, so texts without
 keyword never meet one. Bare hexadecimal runs have no keyword and are found by
 their own run scan. Kinds that carry a checksum (GitHub-style tokens with CRC32 in
 base 62, card numbers with Luhn, IBANs with mod 97) count only if it holds.
+
+Card numbers and IBANs count if they begin within ``NEAR`` bytes behind a keyword, or
+behind another one that did; numbers without a keyword nearby are left alone. Every
+candidate there is tried whole and cut short at its blanks, so neither a number that
+fails its checksum nor a group behind it hides one that holds.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 CARD = re.compile(rb"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "github", "iban", "card")
 KEYWORDS = {b"password": "assign", b"passwd": "assign", b"secret": "assign", b"token": "assign", b"apikey": "assign", b"api_key": "assign", b"akia": "access", **{b"gh" + bytes([c]) + b"_": "github" for c in b"pousr"}, b"iban": "iban", b"card": "card", b"visa": "card", b"mastercard": "card"}
-NEAR = 48  # bytes after a keyword within which an IBAN or card number is looked for
+NEAR, LONGEST = 48, 64  # bytes after a keyword within which an IBAN or card number begins; more than any of them has
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,6 +61,20 @@ def iban_holds(x: bytes) -> bool:
     return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in (x[4:] + x[:4]).decode())) % 97 == 1
 
 
+def _numbers(raw: bytes, kind: str, at: int) -> Iterator[tuple[int, int]]:
+    """Spans of the card numbers or IBANs that begin near ``at`` and hold their checksum."""
+    pattern, holds = (IBAN, iban_holds) if kind == "iban" else (CARD, lambda x: luhn(re.sub(rb"[\x20-]", b"", x)))
+    least, limit = (15 if kind == "iban" else 13), at + NEAR
+    while (m := pattern.search(raw, at, limit + LONGEST)) and m.start() < limit:
+        ends = [m.end(), *(m.start() + x.start() for x in reversed([*re.finditer(rb"[\x20-]", m[0])]))]
+        end = next((e for e in ends if sum(c not in b" -" for c in raw[m.start() : e]) >= least and holds(raw[m.start() : e])), None)
+        if end is None:
+            at = m.start() + 1
+        else:
+            yield m.start(), end
+            at, limit = end, end + NEAR
+
+
 @lru_cache(1)
 def _automaton():
     import ahocorasick
@@ -89,11 +108,8 @@ def byte_spans(raw: bytes) -> list[tuple[int, int, int]]:
             if (m := GITHUB.match(raw, at)) and github_checksum(m[1]) == m[2]:
                 done[kind] = m.end()
                 out.add((at, m.end(), 3))
-        elif m := (IBAN if kind == "iban" else CARD).search(raw, last + 1, last + 1 + NEAR):
-            found = m[0]
-            if iban_holds(found) if kind == "iban" else luhn(re.sub(rb"[\x20-]", b"", found)):
-                done[kind] = m.end()
-                out.add((m.start(), m.end(), KINDS.index(kind)))
+        else:
+            out |= {(a, b, KINDS.index(kind)) for a, b in _numbers(raw, kind, last + 1)}
     out |= {(m.start(), m.end(), 2) for m in HEX.finditer(raw)}
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
 

@@ -136,11 +136,27 @@ def test_checksums():
     assert ss.redact(b"a token=abcdefgh b") == b"a [secret] b" and ss.redact(b"plain") == b"plain"
 
 
+def test_numbers_near_keywords():
+    kinds = lambda x: [(a, b) for a, b, k in ss.byte_spans(x) if k > 3]
+    # no part of a longer run of digits
+    assert kinds(b"card" + b"." * 32 + b"4111111111111111999") == [] and kinds(b"card" + b"." * 32 + b"411111111111111111111111111111") == []
+    # a number that fails, a second number, a group behind the number, one that begins within reach and ends beyond it
+    assert kinds(b"card 1234567890123 then 4111 1111 1111 1111") == [(24, 43)]
+    assert kinds(b"card 4111111111111111, 5500005555555559") == [(5, 21), (23, 39)]
+    assert kinds(b"card 4111 1111 1111 1111 123") == [(5, 24)]
+    assert kinds(b"card" + b"." * 44 + b"4111111111111111") == [(48, 64)] and kinds(b"card" + b"." * 48 + b"4111111111111111") == []
+    assert kinds(b"iban GB82 WEST 1234 5698 7654 32 AND MORE") == [(5, 32)]
+    long = b"card " + b"x" * 200_000 + b" visa 4111111111111111 " + b"card " * 50_000
+    assert len(kinds(long)) == 1
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "é token=abcdefgh", 16, "x"), (2, None, None, None), (3, "plain", 99, "y")], "doc_id long, text string, n_chars long, spans string")
     got = ss.redact_documents(d).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, "é [secret]", 10, "x"), (2, None, None, None), (3, "plain", 99, "y")]
     assert ss.scan_secrets(d.limit(0)).count() == 0
+    twice = ss.scan_secrets(d.union(d)).where("doc_id = 1").collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["spans"] == "assign:2:16"
 
 
 def naive_segments(scores):
