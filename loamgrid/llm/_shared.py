@@ -106,13 +106,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def sample_by_label(df: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each non-null label, those with the smallest id hashes.
+def sample_by_label(df: DataFrame, label: str, id_col: str, per_label: int, most: int = 1000) -> DataFrame:
+    """At most ``per_label`` rows of each non-null label, those with the smallest id hashes; ValueError beyond ``most`` labels.
 
     Two passes: label counts set a hash threshold for each label, so that only
     about twice the wanted rows reach the ranking; no label's rows meet in one task.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} values of {label}")
     if not counts:
         return df.where(F.lit(False))
     bits = 1 << 62

@@ -6,9 +6,14 @@ cross-parsing of Ziv and Merhav); ``phrases * log2(excerpt length) / text
 length`` estimates the cross entropy in bits a letter, and the language with the
 smallest estimate wins.
 
-Whole texts are parsed, in blocks of ``BLOCK`` letters that all advance in
-lockstep, so the work is a few array operations a letter and a very long text is
-as many blocks as it needs.
+Whole texts are parsed. Blocks of ``BLOCK`` symbols advance in lockstep, so the work is
+a few array operations a symbol; each block is first parsed as if a phrase began with
+it, then again from the state in which the block before ended, until both parses meet
+- after a phrase or two, as a rule. The phrases are those of one parse of the text.
+
+The most common letters of the excerpts have a symbol of their own, every other letter
+of theirs is spelled by four symbols, and letters that no excerpt has share one, which
+is a phrase of its own in any language.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from pyspark.sql import functions as F
 
 from ._shared import fold_of, keeper, sample_by_label, slices, take_turn
 
-BLOCK = 256
+BLOCK = 512
 SYMBOLS = 64
-OWN = 47  # letters with a symbol of their own; the rest share the last 16
+OWN = 46  # letters with a symbol of their own: 1 to OWN
+UNKNOWN, NIBBLE = 47, 48
 SHARPNESS = 6.0
+MOST_LANGUAGES = 1000
 
 
 class LanguageModels:
@@ -42,11 +49,12 @@ class LanguageModels:
 def fit_language_models(df: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", *, rows: int = 128, letters: int = 30_000) -> LanguageModels:
     """Takes excerpts of at most ``letters`` characters a language from at most ``rows`` labelled rows each.
 
-    Rows with a null label or text teach nothing. Equal excerpts count once.
+    Rows with a null label or text teach nothing. Equal excerpts count once. More than
+    ``MOST_LANGUAGES`` labels are refused (ValueError): their models would not travel with a task.
     """
     each = max(64, letters // rows) * 2
     start = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.lit(1), F.length(text) - F.lit(each))).cast("int") + 1
-    rows_ = sample_by_label(df.where(F.col(text).isNotNull()).select(id_col, label, text), label, id_col, rows)
+    rows_ = sample_by_label(df.where(F.col(text).isNotNull()).select(id_col, label, text), label, id_col, rows, MOST_LANGUAGES)
     got = rows_.select(label, F.xxhash64(id_col).alias("h"), F.substring(F.col(text), start, F.lit(each)).alias("x")).orderBy("h").collect()
     out: dict[str, list[str]] = {}
     for r in got:
@@ -58,17 +66,23 @@ def fit_language_models(df: DataFrame, text: str = "text", label: str = "lang",
 
 @lru_cache(1)
 def _letter_table() -> np.ndarray:
-    return np.fromiter((48 + c % 16 if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8, 0x110000)
+    return np.fromiter((UNKNOWN if chr(c).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
 
 
 def _letters(text: str, table: np.ndarray) -> np.ndarray:
     """Symbols of the lower-cased text; every run of other characters is one 0, none at the start."""
     s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
     if not len(s):
-        return s
+        return s.astype(np.uint8)
     keep = s != 0
     keep[1:] |= s[:-1] != 0
-    return s[keep]
+    s = s[keep]
+    if (spelled := s >= SYMBOLS).any():
+        n = np.where(spelled, 4, 1)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        each = np.repeat(s, n)
+        s = np.where(each >= SYMBOLS, NIBBLE + (((each - SYMBOLS) >> (4 * place)) & 15), each)
+    return s.astype(np.uint8)
 
 
 def suffix_automaton(symbols: list[int], width: int = SYMBOLS) -> np.ndarray:
@@ -123,8 +137,8 @@ def _compiled(key: tuple) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float
     base = _letter_table()
     counts = Counter(c for _, x in key for c in x.lower() if base[ord(c)])
     table = base.copy()
-    for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:OWN]):
-        table[ord(c)] = i + 1
+    for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
+        table[ord(c)] = i + 1 if i < OWN else SYMBOLS + (i - OWN) % (1 << 16)
     out = []
     for name, x in key:
         s = _letters(x, table)
@@ -136,7 +150,7 @@ keeper("language", _compiled.cache_clear)
 
 
 def _phrases(parts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each text (row) under each table (column); a block's last phrase ends with it."""
+    """Phrases of each text (row) under each table (column)."""
     n = np.array([len(p) for p in parts], np.int64)
     blocks = -(-n // BLOCK)
     total = int(blocks.sum())
@@ -150,20 +164,51 @@ def _phrases(parts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(len(parts)), blocks)
     length = np.minimum(BLOCK, n[owner] - (np.arange(total) - first[owner]) * BLOCK)
     order = np.argsort(-length, kind="stable")
+    length = length[order]
+    rank = np.empty(total, np.int64)
+    rank[order] = np.arange(total)
+    after = np.where(order + 1 < total, rank[np.minimum(order + 1, total - 1)], -1)
+    after[(order + 1 >= total) | (owner[np.minimum(order + 1, total - 1)] != owner[order])] = -1
+    final = after < 0  # the last block of its text
     grid = np.ascontiguousarray(flat.reshape(total, BLOCK)[order].T).astype(np.int32)
-    active = np.searchsorted(-length[order], -np.arange(BLOCK), "left")  # blocks longer than i
+    active = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than i
+    steps = np.empty((BLOCK, total), np.int32)
+    root = ~(SYMBOLS - 1)
     for j, table in enumerate(tables):
         state = np.zeros(total, np.int32)
-        count = np.ones(total, np.int32)
+        count = np.zeros(total, np.int32)
         for i in range(BLOCK):
             k = active[i]
             if not k:
                 break
             v = state[:k]
-            v &= ~(SYMBOLS - 1)
+            v &= root
             v |= grid[i, :k]
             np.take(table, v, out=v, mode="clip")
+            steps[i, :k] = v
             count[:k] += v & 3
+        state &= root
+        at = np.flatnonzero((after >= 0) & (state != 0))  # blocks that end inside a phrase
+        while len(at):
+            todo, now = after[at], state[at]
+            changed = []
+            for i in range(BLOCK):
+                v = np.take(table, now | grid[i, todo], mode="clip")
+                old = steps[i, todo]
+                count[todo] += (v & 3) - (old & 3)
+                steps[i, todo] = v
+                apart = (v ^ old) & root != 0
+                ended = apart & (length[todo] == i + 1)
+                if ended.any():
+                    state[todo[ended]] = v[ended] & root
+                    changed.append(todo[ended])
+                    apart &= ~ended
+                todo, now = todo[apart], v[apart] & root
+                if not len(todo):
+                    break
+            at = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+            at = at[after[at] >= 0]
+        count += final & (state != 0)  # a text's last phrase ends with it
         out[:, j] = np.bincount(owner[order], count, len(parts)).astype(np.int64)
     return out
 
@@ -190,9 +235,10 @@ def identify_language(df: DataFrame, models: LanguageModels, text: str = "text",
 
     A null text, or one without a letter: ``und``, score 0. Equal estimates: the
     name that sorts first. Repeated rows are answered each. No language in
-    ``models``: every row is ``und``.
+    ``models``: every row is ``und``. Of ``keep``, columns named as a result give way to it.
     """
     key = models.key
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "bits"))
     src = df.select(*keep, F.col(text).alias("__text"))
     fields = [src.schema[c] for c in keep]
 

@@ -14,30 +14,36 @@ def fold(i, m):
 
 
 def naive_phrases(symbols, excerpt):
-    """Greedy longest matches by plain substring search, block by block."""
-    out = 0
-    for at in range(0, len(symbols), li.BLOCK):
-        block, i = symbols[at : at + li.BLOCK], 0
-        while i < len(block):
-            n = 0
-            while i + n < len(block) and bytes(block[i : i + n + 1]) in excerpt:
-                n += 1
-            i += max(n, 1)
-            out += 1
+    """Greedy longest matches by plain substring search over the whole text."""
+    out = i = 0
+    while i < len(symbols):
+        n = 0
+        while i + n < len(symbols) and bytes(symbols[i : i + n + 1]) in excerpt:
+            n += 1
+        i += max(n, 1)
+        out += 1
     return out
 
 
 def test_phrases_as_by_substring_search():
     rng = np.random.default_rng(1)
     excerpt = rng.integers(0, 5, 400).astype(np.uint8)
-    table = li.parse_table(excerpt.tolist())
-    texts = [rng.integers(0, 6, n).astype(np.uint8) for n in (0, 1, 2, 255, 256, 257, 1000)]
-    got = li._phrases(texts, [table])[:, 0]
-    for x, n in zip(texts, got):
-        want = naive_phrases(x, bytes(excerpt))
-        blocks = -(-len(x) // li.BLOCK)
-        # a block that ends with a symbol the excerpt lacks has an empty last phrase too
-        assert want <= n <= want + blocks, (len(x), n, want)
+    long = np.tile(excerpt, 8)  # phrases longer than a block
+    tables = [li.parse_table(excerpt.tolist()), li.parse_table(long.tolist())]
+    texts = [rng.integers(0, 6, n).astype(np.uint8) for n in (0, 1, 2, 511, 512, 513, 1000, 5000)] + [long[7:3000], np.concatenate([long[:1500], [9], long[3:1700]]).astype(np.uint8), np.full(1024, 9, np.uint8)]
+    got = li._phrases(texts, tables)
+    for j, e in enumerate((excerpt, long)):
+        assert got[:, j].tolist() == [naive_phrases(x, bytes(e)) for x in texts]
+    assert got[8, 1] == 1
+
+
+def test_every_letter_of_an_excerpt_counts():
+    han = "".join(chr(0x4E00 + i) for i in range(300))
+    table, models = li._compiled((("zh", han), ("en", "the quick brown fox jumps over the lazy dog " * 20)))
+    each = [bytes(li._letters(c, table)) for c in han]
+    assert len(set(each)) == 300 and {len(x) for x in each} == {1, 4}
+    assert li._letters("\U00020000 x", table).tolist()[0] == li.UNKNOWN
+    assert li.score_texts(["丄丅丆万丈", "lazy dog"], (("zh", han), ("en", "the quick brown fox jumps over the lazy dog " * 20)))[0] == ["zh", "en"]
 
 
 def test_op1(spark, small):
@@ -58,6 +64,8 @@ def test_op1_edges(spark):
     got = [(r["doc_id"], r["lang_pred"]) for r in li.identify_language(d, m).orderBy("doc_id").collect()]
     assert got == [(None, "en"), (1, "und"), (2, "und"), (3, "und"), (5, "de"), (5, "de"), (6, "en")]
     assert li.identify_language(d.limit(0), m).count() == 0
+    clash = li.identify_language(d, m, keep=("doc_id", "score"))
+    assert clash.columns == ["doc_id", "lang_pred", "score", "bits"] and clash.count() == 7
     none = li.fit_language_models(train.limit(0))
     assert {r["lang_pred"] for r in li.identify_language(d, none).collect()} == {"und"}
     kept = li.keep_identified(d, m)
