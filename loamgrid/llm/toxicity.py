@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Labelled texts give every word a log-odds weight under an informative Dirichlet
-prior; words whose weight stands out from its deviation make the lexicon, every
-other word costs a constant. A text's significant passages are its maximal scoring
-segments (Ruzzo and Tompa, linear time). Extreme-value statistics (Karlin and
+Labelled texts give every word a log-odds weight under an informative Dirichlet prior,
+shrunk towards zero by ``DEVIATIONS`` of its standard deviations; clean words weigh
+below zero. Every word costs a constant besides, so that clean text drifts downwards;
+words that fewer than ``LEAST_TEXTS`` texts of the sample hold cost that alone. A text's
+significant passages are its maximal scoring segments (Ruzzo and Tompa, linear time). Extreme-value statistics (Karlin and
 Altschul) turn a segment's score into its surprise for a text of that length, and a
 logistic fit of the summed surprise on the labelled sample gives a probability.
 """
@@ -24,8 +25,8 @@ from ._shared import as_bytes, fold_of, read_table, slices
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 PRIOR = 0.1  # the prior's weight against the sample, which is also its shape; a text counts a word once, so bursts teach nothing
-DEVIATIONS = 3.0
-LEXICON = 4096
+DEVIATIONS = 2.0
+LEAST_TEXTS = 5
 SIGNIFICANT = 0.0  # a segment counts from this surprise (-ln E) on
 
 
@@ -76,6 +77,8 @@ def surprise(words: list[bytes], m: ToxicityModel) -> tuple[float, list[tuple[in
 
 
 def probability(x: float, m: ToxicityModel) -> float:
+    if not m.weights:
+        return m.base
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.fit[0] + m.fit[1] * math.log1p(x)))))
 
 
@@ -108,7 +111,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000)
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic (null: no label; a document
     with several labels is toxic if one says so). Without labelled text of both
-    kinds the model has no lexicon and answers the base rate.
+    kinds, or a word that tells them apart, the model answers the labels' toxic share
+    (0 without labels). Words of the sample reach the driver as counts: of those in
+    ``LEAST_TEXTS`` texts or more, which ``max_rows`` bounds.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -135,20 +140,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000)
     total = counts.agg(totals.alias("s")).first()["s"]
     nc, nt = total["c"] or 0, total["t"] or 0
     both = marks.agg(F.avg("toxic")).first()[0] or 0.0
-    base = min(0.29, max(0.01, float(both)))
-    empty = ToxicityModel({}, 1.0, 1.0, 0.0, (math.log(base / (1 - base)), 0.0), base)
+    base = float(both)
+    empty = ToxicityModel({}, 1.0, 1.0, 0.0, (0.0, 0.0), base)
     if not nc or not nt:
         return empty
     a, prior = F.lit(PRIOR) * (F.col("c") + F.col("t")), PRIOR * (nc + nt)
     odds = F.log((F.col("t") + a) / (nt + prior - F.col("t") - a)) - F.log((F.col("c") + a) / (nc + prior - F.col("c") - a))
-    z = odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    got = counts.withColumn("odds", odds).withColumn("z", z).where((F.col("z") > DEVIATIONS) & (F.col("t") >= 5)).orderBy(F.desc("z"), "w").limit(LEXICON).collect()
-    if not got:
+    sd = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
+    shrunk = F.signum(odds) * F.greatest(F.abs(odds) - DEVIATIONS * sd, F.lit(0.0))
+    got = counts.where(F.col("t") + F.col("c") >= LEAST_TEXTS).select("w", "c", shrunk.alias("shrunk")).where("shrunk <> 0").collect()
+    if not any(r["shrunk"] > 0 for r in got):
         return empty
-    weights = {bytes(r["w"]): float(r["odds"]) for r in got}
+    weights = {bytes(r["w"]): float(r["shrunk"]) for r in got}
     w, clean = np.array(list(weights.values())), np.array([(r["c"] + 0.5) / nc for r in got])
-    # other words cost enough for the clean text's mean score to be clearly below zero
-    cost = max(0.02, 2 * float((w * clean).sum()))
+    # every word costs enough for the clean text's mean score to be clearly below zero
+    cost = max(0.02, 2 * float((w * clean)[w > 0].sum()))
+    weights = {k: v - cost for k, v in weights.items()}
+    w = w - cost
     lam = _decay(w, clean, cost)
     model = ToxicityModel(weights, cost, lam, 0.0, (0.0, 1.0), base)
 

@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from loamgrid.llm import secret_scan as ss
 from loamgrid.llm import suffix_lm as lm
@@ -202,3 +203,28 @@ def test_op10_edges(spark):
     blank = tx.fit_toxicity(docs, labels.limit(0))
     assert {r["predicted"] for r in tx.score_toxicity(docs, blank).collect()} == {0}
     assert tx.score_toxicity(docs.limit(0), m).count() == 0
+    # one kind of label: its share is the answer; repeated rows and clashing columns
+    every = tx.fit_toxicity(docs, labels.withColumn("toxic", F.lit(1)))
+    assert {(r["score"], r["predicted"]) for r in tx.score_toxicity(docs, every).collect()} == {(1.0, 1)}
+    twice = docs.where("doc_id = 1").select("*", F.lit(7).alias("score"), F.lit("x").alias("passages"))
+    assert tx.score_toxicity(twice.union(twice), m).select("score").distinct().count() == 1
+
+
+def test_word_weights_are_shrunk_log_odds(spark):
+    texts = [(i, ("vile scum " if i < 30 else "nice day ") + ("even " if i % 2 else "odd ") + "xyz"[i % 3] * 3 + f" q{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    m = tx.fit_toxicity(docs, spark.createDataFrame([(i, int(i < 30)) for i in range(120)], "doc_id long, toxic int"))
+    seen = ({}, {})
+    for i, t in texts:
+        for w in set(tx.words_of(t.encode())):
+            seen[i < 30][w] = seen[i < 30].get(w, 0) + 1
+    n = [sum(x.values()) for x in seen]
+    want = {}
+    for w in seen[0].keys() | seen[1].keys():
+        c, t = seen[0].get(w, 0), seen[1].get(w, 0)
+        a, p = tx.PRIOR * (c + t), tx.PRIOR * sum(n)
+        odds = math.log((t + a) / (n[1] + p - t - a)) - math.log((c + a) / (n[0] + p - c - a))
+        low = abs(odds) - tx.DEVIATIONS * math.sqrt(1 / (t + a) + 1 / (c + a))
+        if c + t >= tx.LEAST_TEXTS and low > 0:
+            want[w] = math.copysign(low, odds) - m.cost
+    assert m.weights == pytest.approx(want) and any(x > 0 for x in want.values())
