@@ -46,6 +46,8 @@ def shared_root(spark: SparkSession) -> str:
         root = sc._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -127,20 +129,26 @@ def sample_by_label(df: DataFrame, label: str, id_col: str, per_label: int, most
     return near.withColumn("__r", rank).where(F.col("__r") <= per_label).drop("__h", "__r")
 
 
-def attach(big: DataFrame, small: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+def copied(column: pa.Array) -> pa.Array:
+    """The values in memory of their own: keeping a column of a batch would keep the whole message."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
+def attach(big: DataFrame, small: DataFrame, key: str, weight: str, spread: str, line: int | None = None) -> DataFrame:
     """Left join of ``big`` with ``small`` (one row a key) that no hot key can stall.
 
     ``weight`` says how many rows of ``big`` have the key. Keys that hold over a
     thousandth of all rows - fewer than a thousand, whatever the size - are
     broadcast; the rest are joined by shuffle, where no key is large.
-    ``spread`` scatters the rows that are already done.
+    With ``line``, keys of more rows than that are broadcast instead. ``spread`` scatters
+    the rows that are already done; those are rows with a null key too, which match nothing.
     """
     value = [c for c in small.columns if c not in (key, weight)]
-    total = small.agg(F.sum(weight)).first()[0] or 0
-    line = max(10_000, total // 1000)
+    if line is None:
+        line = max(10_000, (small.agg(F.sum(weight)).first()[0] or 0) // 1000)
     hot = small.where(F.col(weight) > line).select(F.col(key), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in value])
-    cold = small.where(F.col(weight) <= line).select(F.struct(F.col(key).alias("k"), F.lit(None).cast("string").alias("s")).alias("__k"), *value)
-    done = F.coalesce(F.col("__hot"), F.lit(False))
+    cold = small.where(F.col(weight) <= line).select(F.struct(F.col(key).alias("k"), F.lit(None).cast("string").alias("s")).alias("__k"), *value).where(F.col("__k.k").isNotNull())
+    done = F.coalesce(F.col("__hot"), F.lit(False)) | F.col(key).isNull()
     out = big.join(F.broadcast(hot), key, "left")
     out = out.withColumn("__k", F.struct(F.when(~done, F.col(key)).alias("k"), F.when(done, F.col(spread).cast("string")).alias("s")))
     on = out["__k"]["k"].eqNullSafe(cold["__k"]["k"]) & out["__k"]["s"].eqNullSafe(cold["__k"]["s"])

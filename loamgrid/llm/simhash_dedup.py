@@ -28,6 +28,7 @@ from ._shared import as_bytes, attach, read_table, scratch, slices, take_turn, w
 RADIUS = 2
 SEGMENTS = 5
 BUCKET = 64
+CROWD = 1_000_000
 _RUN = 1 << 16
 
 
@@ -129,7 +130,8 @@ def components(links: DataFrame, uri: str, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al.), each written to
     ``uri``, so lost executors cost a step at most; nothing reaches the driver but
-    a row count and a checksum.
+    a row count and a checksum. A node with more than ``CROWD`` edges, such as the root
+    of a giant component, is looked up by broadcast, so its edges need not meet.
     """
     now = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), f"{uri}/0")
 
@@ -141,11 +143,11 @@ def components(links: DataFrame, uri: str, rounds: int = 60) -> DataFrame:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for i in range(1, rounds):
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("w"))
+        large = attach(both, low, "u", "w", "v", CROWD).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = attach(down, low, "u", "w", "v", CROWD).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, f"{uri}/{i}")
         before, seen = seen, mark(now)
         if seen == before:
@@ -183,13 +185,14 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id") -
 def keep_one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows, with all their columns, one a component: that with the smallest id (ties: any one of them)."""
     uri = scratch(docs.sparkSession, "dedup")
-    marked = written(with_fingerprint(docs, text), f"{uri}/docs")
-    ids = marked.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp"))
+    name = "__fp" + "_" * max(map(len, docs.columns))  # no other column has it
+    marked = written(with_fingerprint(docs, text, name), f"{uri}/docs")
+    ids = marked.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp"))
     classes, _ = fingerprint_classes(ids, uri)
     # one fingerprint of each component holds its smallest id; of those that share it, the least
     best = classes.where(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("rep", "fp")).alias("k")).select("k.rep", "k.fp")
-    on = marked["__fp"].eqNullSafe(best["fp"]) & marked[id_col].eqNullSafe(best["rep"])
-    return marked.join(best, on, "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")
+    on = marked[name].eqNullSafe(best["fp"]) & marked[id_col].eqNullSafe(best["rep"])
+    return marked.join(best, on, "left_semi").dropDuplicates([id_col, name]).drop(name)
 
 
 def op5_pigeonring_simhash(spark, sf_dir: str) -> DataFrame:

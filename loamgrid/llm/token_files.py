@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import open_fs, read_table, scratch, slices, take_turn, written
+from ._shared import copied, open_fs, read_table, scratch, slices, take_turn, written
 from .tokens import default_vocabulary, encoder
 
 ROW = 2048
 BATCH_ROWS = 512
+FILE_BYTES = 128 << 20
 
 
 def _narrowest(vocabulary_size: int) -> pa.DataType:
@@ -96,14 +97,21 @@ class SequenceReader:
 def write_token_files(df: DataFrame, uri: str, vocabulary: str, *, end_id: int = 2, files: int | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Writes the ids of every row in ascending id order; returns the written list (file, path, docs, ids).
 
-    Nulls sort first; rows with one id keep together, in the order of their texts.
+    Nulls sort first; rows with one id come one after the other, in the order of their
+    texts' hashes, over as many files as they need. A file has about ``FILE_BYTES`` of
+    text, less where that would leave cores idle. A null or empty text is the end id
+    alone; an empty table writes no file; other columns are not looked at.
     The list names complete files only: a second attempt at a task writes others.
     """
     spark = df.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    # rows of one id are ordered by their texts' hashes first
-    ordered = src.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"), "text")
+    if not files:
+        size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, -(-size // FILE_BYTES), min(4 * spark.sparkContext.defaultParallelism, -(-size // (FILE_BYTES // 16))))
+    # the last column splits equal rows, which have no order
+    keyed = src.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(files, "id", "h", "n").sortWithinPartitions("id", "h", "text").select("id", "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("tokens")
         enc = encoder(vocabulary)
@@ -119,7 +127,7 @@ def write_token_files(df: DataFrame, uri: str, vocabulary: str, *, end_id: int =
                 if out is None:
                     sink = fs.open_output_stream(name + ".arrow")
                     out = SequenceWriter(sink, _narrowest(enc.tokenizer.get_vocab_size()))
-                docs.append(b.column("id"))
+                docs.append(copied(b.column("id")))
                 for ids in enc.encode([x or "" for x in b.column("text").to_pylist()]):
                     ids = np.append(ids, np.uint32(end_id))
                     starts.append(out.total)
@@ -137,7 +145,7 @@ def write_token_files(df: DataFrame, uri: str, vocabulary: str, *, end_id: int =
 
 
 def read_token_files(listing: DataFrame, uri: str, id_type: str) -> DataFrame:
-    """Per document: id, start (ids of all documents before it), n_tokens and ids_crc32, from the files."""
+    """Per document: id, start (ids of all documents before it), n_tokens and ids_crc32, from the files of the list; no file, no rows."""
     base = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     files = listing.select("path", F.coalesce(base, F.lit(0)).alias("base"))
 

@@ -118,11 +118,12 @@ def _digest(fields: dict[str, str]) -> str:
 
 def decide_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages (page_id, url, payload string) with ``refers_to``: the page whose equal payload is kept, or null."""
-    p = pages.withColumn("__n", F.octet_length("payload")).withColumn("__d", F.sha1(F.encode("payload", "utf-8")))
-    same = p.where(F.col("__n") >= least).groupBy("__d").agg(F.max("page_id").alias("__kept"), F.count("*").alias("__w"))
-    same = same.where(F.col("__w") > 1)
+    # short payloads have no key: nothing is looked up for them, so equal ones don't meet
+    p = pages.select("page_id", "url", "payload", F.when(F.octet_length("payload") >= least, F.sha1(F.encode("payload", "utf-8"))).alias("__d"))
+    same = p.where(F.col("__d").isNotNull()).groupBy("__d").agg(F.max("page_id").alias("__kept"), F.count("*").alias("__w")).where(F.col("__w") > 1)
+    same = written(same, scratch(pages.sparkSession, "revisits") + "/same")
     out = attach(p.withColumn("__s", F.monotonically_increasing_id()), same, "__d", "__w", "__s")
-    ref = F.when((F.col("__n") >= least) & ~F.col("page_id").eqNullSafe(F.col("__kept")), F.col("__kept"))
+    ref = F.when(~F.col("page_id").eqNullSafe(F.col("__kept")), F.col("__kept"))
     return out.select("page_id", "url", "payload", ref.alias("refers_to"))
 
 
