@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP6_SQL, op6_simhash_leaks
 from .language_id import op1_cross_parsing
-from .packing import op7_vector_packing
+from .packing import op7_vector_packing, packed_conversations
 from .quality_rules import op2_divergence_rules
 from .secret_scan import op9_anchored_secrets
 from .simhash_dedup import op5_pigeonring_simhash
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_arrow_token_files,
         op9_anchored_secrets,
         op10_toxic_segments,
+        packed_conversations,
     )
 }
 

@@ -82,6 +82,63 @@ def test_dot_product_bins():
         packing.dot_product_bins(np.array([2049]), np.array([1]), limits)
 
 
+def test_bins_as_by_trying_every_piece():
+    rng = np.random.default_rng(3)
+    for limits in (packing.Limits(100, 4, 60), packing.Limits(100, 50, 100), packing.Limits(100, 50, 20)):
+        t = rng.integers(1, 101, 120)
+        z = np.minimum(np.minimum(t, limits.loss), rng.integers(0, 101, 120))
+        left = set(range(120))
+        for mine in packing.dot_product_bins(t, z, limits):
+            room = np.array([limits.tokens, limits.segments, limits.loss], float)
+            cap = room.copy()
+            for i in mine:
+                value = {k: float((np.array([t[k], 1, z[k]]) / cap * (room / cap)).sum()) for k in left if t[k] <= room[0] and room[1] >= 1 and z[k] <= room[2]}
+                assert value[i] >= max(value.values()) - 1e-9
+                left.remove(i)
+                room -= np.array([t[i], 1, z[i]])
+            # closed only when nothing fits any more
+            assert not any(t[k] <= room[0] and room[1] >= 1 and z[k] <= room[2] for k in left)
+        assert not left
+
+
+def test_conversations_under_limits_that_bind(spark):
+    sf = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    e = PieceEncoder(default_vocabulary())
+    want = {}
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        want.setdefault((r["conv_id"], r["turn"] // 64), []).append((e.encode([r["text"] or ""])[0], r["role"] == "assistant"))
+    d = spark.read.parquet(f"{sf}/conversations.parquet")
+    short = d.where("turn = 0").selectExpr("conv_id + 100000 AS conv_id", "turn", "'user' AS role", "substring(text, 1, 20) AS text")
+    asked = d.where("turn < 2").selectExpr("conv_id + 200000 AS conv_id", "turn", "'user' AS role", "repeat(text, 2) AS text")  # long questions, no answer
+    limits = packing.Limits(2048, 8, 1024)
+    pack = lambda x: packing.pack_examples(packing.conversation_examples(x.select("conv_id", "turn", "role", "text")).repartition(1), default_vocabulary(), "parts", "conv_id", limits=limits).toPandas()
+    got = pack(d)
+    for k, pieces in got.sort_values("start").groupby("conv_id"):
+        parts = want[k, 0]
+        ids = np.concatenate([*(p for p, _ in parts), [1]]).astype("<u4")
+        loss = np.concatenate([*(np.full(len(p), y) for p, y in parts), [parts[-1][1]]]).astype(bool)
+        assert b"".join(pieces.ids) == ids.tobytes()
+        assert b"".join(m if m is not None else b"\1" * n for m, n in zip(pieces.loss_mask, pieces.length)) == loss.tobytes()
+        assert pieces.loss_tokens.sum() == loss.sum()
+    for x, bound in ((got, "loss"), (pack(short), "segments"), (pack(asked), "tokens")):
+        s = x.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "count"), loss=("loss_tokens", "sum"))
+        assert (s.tokens <= 2048).all() and (s.segments <= 8).all() and (s.loss <= 1024).all()
+        full = {"tokens": s.tokens > 1950, "segments": s.segments == 8, "loss": s.loss > 1000}
+        # sequences that only the one limit holds back
+        assert (full[bound] & ~np.logical_or.reduce([y for k, y in full.items() if k != bound])).any(), bound
+
+
+def test_examples_of_any_shape(spark):
+    d = spark.createDataFrame([(1, None, 5), (2, [], 5), (3, [(None, True)], 5), (3, [(None, True)], 5), (None, [("a", True), ("b", None)], 5), (4, [("x " * 500, False), ("y " * 500, True)], 5)], "doc_id long, parts array<struct<text: string, loss: boolean>>, start int")
+    got = packing.pack_examples(d, default_vocabulary(), "parts", limits=packing.Limits(128, 3, 32)).orderBy("doc_id", "start").collect()
+    assert [(r["doc_id"], r["length"], r["loss_tokens"]) for r in got[:5]] == [(None, 3, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1)]
+    rest = got[5:]
+    assert sum(r["length"] for r in rest) == rest[0]["doc_tokens"] and all(r["loss_tokens"] <= 32 and r["length"] <= 128 for r in rest)
+    turns = spark.createDataFrame([(7, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(200)] + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
+    assert sorted(len(r["parts"]) for r in packing.conversation_examples(turns).collect()) == [1, 8, 64, 64, 64]
+
+
 def test_op7(spark, small):
     got = packing.op7_vector_packing(spark, small).toPandas()
     e = PieceEncoder(default_vocabulary())
