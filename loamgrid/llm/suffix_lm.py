@@ -9,33 +9,41 @@ position, being a query too, is binary-searched into the narrowing intervals of
 training contexts until its longest matching context is found. Interval counts of the
 word that follows, summed over the shard's files, give the continuation estimate.
 
-    p(w | context) = lam[k] * count(context w) / count(context) + (1 - lam[k]) * p1(w)
+    p(w | context) = lam[k] * count(context w) / count(context) + (1 - lam[k]) * p2(w | v)
+    p2(w | v) = (count(v w) + MU * p1(w)) / (count(v) + MU)
 
-with the longest context of two words or more that training text has, k its length
-(``CLASSES`` at most) and p1 the add-one unigram, which stands alone where no such
-context exists. lam[k] is the leave-one-out hit rate of contexts of that class over
-all training positions.
+with the longest context that training text has, k its length (``CLASSES`` at most), v
+the word before and p1 the add-one unigram. Pairs of words are counted like words, by
+an aggregate, so a context of one word is known wherever any is. lam[k] is the hit rate
+of contexts of that class over all training positions.
+
+A training text is scored by the model of all other rows: its own words, pairs and
+contexts are left out of every count, whether they occur in it once or often. So the
+scores of training and of held-out rows say the same, and a text that another row
+repeats stands out by its score.
 
 Once all training continuations of a context of CLASSES words or more agree, longer
 contexts agree too, so the search stops there without changing the estimate. Where
-they keep disagreeing (a word repeated thousands of times) it goes on to ``HORIZON``
-words.
+they keep disagreeing for ``DEEP`` words, the rest of the way is taken along paths: the
+contexts of an interval are compared with one of them by hashes of their prefixes, so a
+context of a hundred thousand words takes a few steps.
 
 Equal texts of a file are stored once with a weight, so a group of copies, however
 large, puts few positions into a shard.
 
-64-bit hashes stand for words; two words with one hash (a chance of about 3 in a
-million for ten million distinct words) would count as one.
+64-bit hashes stand for words and contexts; two with one hash (about 3 in a million for
+ten million distinct words) would count as one.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +51,12 @@ from pyspark.sql import functions as F
 from ._shared import as_bytes, fold_of, open_fs, read_table, scratch, slices, written
 
 CLASSES = 6
-HORIZON = 64
+MU = 20.0
+DEEP = 64
+OPEN_FILES = 32
 SHARD_WORDS = 1_200_000
 FILE_WORDS = 4_000_000
-_HALF, _GROUP = np.uint64(24), np.uint64(40)  # a key: 24 bits of an interval's number, 40 of a word's hash
-_UNIT = 1_000_000  # leave-one-out sums travel as millionths
+_UNIT = 1_000_000  # sums of shares travel as millionths
 _END = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -114,7 +123,17 @@ def _save(uri: str, number: int, **arrays: np.ndarray) -> None:
     for k, a in arrays.items():
         with fs.open_output_stream(f"{path}/{number}.{k}.{attempt}") as out:
             out.write(np.ascontiguousarray(a).data if len(a) else b"\0")
-        fs.move(f"{path}/{number}.{k}.{attempt}", f"{path}/{number}.{k}")
+        _settle(fs, f"{path}/{number}.{k}", attempt)
+
+
+def _settle(fs, name: str, attempt: int) -> None:
+    """Gives an attempt's file its name; where another attempt's has it and can't be replaced, that one is as good."""
+    try:
+        fs.move(f"{name}.{attempt}", name)
+    except OSError:
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(f"{name}.{attempt}")
 
 
 def _shard_of(last: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
@@ -142,12 +161,12 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _write_file(uri: str, number: int, held: list[tuple], shards: int) -> Iterator[pa.RecordBatch]:
-    # equal texts of a file are one text with a weight, so a group of copies costs a text a file
-    texts: dict[bytes, int] = {}
-    rows = np.array([texts.setdefault(h.tobytes(), len(texts)) for _, _, parts in held for h in parts], np.int32)
+    # equal texts of a file are one text with a weight, so a group of copies costs a text a file; held-out ones weigh nothing
+    texts: dict[tuple[bytes, bool], int] = {}
     learn = np.array([x for _, train, _ in held for x in train], bool)
+    rows = np.array([texts.setdefault((h.tobytes(), y), len(texts)) for _, train, parts in held for h, y in zip(parts, train)], np.int32)
     weight = np.bincount(rows[learn], minlength=len(texts)).astype(np.uint32)
-    parts = [np.frombuffer(x, np.uint64) for x in texts]
+    parts = [np.frombuffer(x, np.uint64) for x, _ in texts]
     size = np.array([len(h) for h in parts], np.int64)
     hashes, words = np.unique(np.concatenate(parts), return_inverse=True)
     del texts, parts
@@ -159,21 +178,41 @@ def _write_file(uri: str, number: int, held: list[tuple], shards: int) -> Iterat
     table = pa.table({"id": pa.chunked_array([x for x, _, _ in held])})
     with fs.open_output_stream(f"{path}/{number}.ids.{attempt}") as sink, pa.ipc.new_file(sink, table.schema) as w:
         w.write_table(table)
-    fs.move(f"{path}/{number}.ids.{attempt}", f"{path}/{number}.ids")
+    _settle(fs, f"{path}/{number}.ids", attempt)
     counts = np.bincount(words, np.repeat(weight, size), len(hashes)).astype(np.uint32)
     at, bounds = _positions(words, hashes, starts, shards)
     order, cut = _word_shards(hashes, shards)
+    pairs, pair = _pairs(words, hashes, starts)
+    met = np.bincount(pair, np.repeat(weight, size)[1:], len(pairs)).astype(np.uint32)
+    met_order, met_cut = _word_shards(pairs, shards)
     for s in range(shards):
-        p, u = at[bounds[s] : bounds[s + 1]], order[cut[s] : cut[s + 1]]
+        p, u, v = at[bounds[s] : bounds[s + 1]], order[cut[s] : cut[s + 1]], met_order[met_cut[s] : met_cut[s + 1]]
         found = []
         if len(p):
             found.append((0, s, number, len(p), 0, _pack(np.diff(p, prepend=0).astype("<u4"))))
         if len(u):
             found.append((1, s, number, len(u), int(counts[u].sum()), _pack(np.concatenate([hashes[u].view("<u4"), counts[u]]))))
+        if len(v):
+            found.append((6, s, number, len(v), 0, _pack(np.concatenate([pairs[v].view("<u4"), met[v]]))))
         if found:
             yield _rows(found)
 
 
+def _pairs(words: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a word and the next one, and which of them ends at each word but the file's first; a text's first
+    word makes no pair and has the last number, which is none of theirs."""
+    if len(words) < 2:
+        return np.zeros(1, np.uint64), np.zeros(0, np.int64)
+    first = np.zeros(len(words), bool)
+    first[starts] = True
+    key = mix(hashes[words[:-1]] + mix(hashes[words[1:]] + _R)) >> np.uint64(1)
+    key[first[1:]] = np.uint64((1 << 64) - 1)
+    keys, which = np.unique(key, return_inverse=True)
+    if keys[-1] != np.uint64((1 << 64) - 1):
+        keys = np.append(keys, np.uint64((1 << 64) - 1))
+    return keys, which
+
+
 def _word_shards(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     part = (hashes >> np.uint64(33)).astype(np.int64) % shards
     order = np.argsort(part, kind="stable")
@@ -202,22 +241,36 @@ def _write_corpus(docs: DataFrame, uri: str, shards: int) -> DataFrame:
 
 
 def _count_words(rows: list[tuple]) -> list[tuple]:
-    """Kind 1 rows of one shard: back go each file's words' training counts (kind 3) and the distinct ones (kind 4)."""
+    """Kind 1 rows of one shard: back go each file's words' training counts (kind 3) and the distinct ones (kind 4); of kind 6 the pairs' counts (kind 7)."""
     each = []
     for _, shard, file, n, _, blob in rows:
         a = _unpack(blob, 3 * n, "<u4")
         each.append((shard, file, a[: 2 * n].view("<u8"), a[2 * n :]))
     keys, where = np.unique(np.concatenate([x[2] for x in each]), return_inverse=True)
     total = np.bincount(where, np.concatenate([x[3] for x in each]), len(keys)).astype(np.int64)
-    out, at = [(4, each[0][0], -1, int((total > 0).sum()), int(total.sum()), None)], 0
+    single = rows[0][0] == 1
+    out, at = [(4, each[0][0], -1, int((total > 0).sum()), int(total.sum()), None)] if single else [], 0
     for shard, file, h, _ in each:
-        out.append((3, shard, file, len(h), 0, _pack(total[where[at : at + len(h)]].astype("<i8"))))
+        out.append((3 if single else 7, shard, file, len(h), 0, _pack(total[where[at : at + len(h)]].astype("<i8"))))
         at += len(h)
     return out
 
 
-def _search(rows: list[tuple], files) -> list[tuple]:
-    """Kind 0 rows of one shard: back go each file's results (kind 2) and the leave-one-out sums by class (kind 5).
+def _repeats(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs among all."""
+    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[which]
+
+
+def _counted(keys: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weight of the training keys that equal each key, by binary search."""
+    order = np.argsort(of)
+    ranked, run = of[order], np.concatenate([[0], np.cumsum(weights[order])])
+    return run[np.searchsorted(ranked, keys, "right")] - run[np.searchsorted(ranked, keys, "left")]
+
+
+def _search(rows: list[tuple], files, deep: int = DEEP) -> list[tuple]:
+    """Kind 0 rows of one shard: back go each file's results (kind 2) and the sums of training positions' shares by class (kind 5).
 
     A result is one byte: class * 4 + (0: no continuation agrees, 1: all do, 2: a share, listed after).
     """
@@ -226,86 +279,62 @@ def _search(rows: list[tuple], files) -> list[tuple]:
     pos = np.concatenate(at)
     del at
     n = len(pos)
-    opened = [files(r[2]) for r in rows]
-    before, weight, follows = np.empty(n, np.int32), np.empty(n, np.int64), np.empty(n, np.uint64)
-    for f, a, b in zip(opened, edge, edge[1:]):
-        p = pos[a:b]
+    before, weight, follows, text = np.empty(n, np.int32), np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+    key = np.empty(n, np.uint64)
+    for i, (r, a, b) in enumerate(zip(rows, edge, edge[1:])):
+        f, p = files(r[2]), pos[a:b]
         d = np.searchsorted(f.starts, p, "right") - 1
-        before[a:b], weight[a:b] = p - f.starts[d], f.weight[d]
-        follows[a:b] = f.hashes[f.words[p]] >> _HALF
+        before[a:b], weight[a:b], text[a:b] = p - f.starts[d], f.weight[d], d + (i << 32)
+        follows[a:b] = f.hashes[f.words[p]]
+        key[a:b] = mix(f.hashes[f.words[p - 1]] + mix(f.hashes[f.words[p - 2]] + _R))
     share, kind = np.zeros(n, np.float32), np.zeros(n, np.uint8)
-    left = np.zeros((CLASSES + 1, 2))
 
-    def word(which: np.ndarray, depth: int) -> np.ndarray:
-        """Of the word ``depth`` places before each position, the upper bits of its hash."""
+    def word(which: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+        """The hash of the word ``depth`` places before each position."""
         order = np.argsort(which)  # positions ascend file by file
-        ranked = which[order]
+        ranked, depth = which[order], np.broadcast_to(depth, which.shape)[order]
         out = np.empty(len(which), np.uint64)
-        for f, a, b in zip(opened, *(np.searchsorted(ranked, e) for e in (edge[:-1], edge[1:]))):
+        for r, a, b in zip(rows, *(np.searchsorted(ranked, e) for e in (edge[:-1], edge[1:]))):
             if b > a:
-                out[order[a:b]] = f.hashes[f.words[pos[ranked[a:b]] - depth]] >> _HALF
+                f = files(r[2])
+                out[order[a:b]] = f.hashes[f.words[pos[ranked[a:b]] - depth[a:b]]]
         return out
 
-    def grouped(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        return (upper.astype(np.uint64) << _GROUP) | lower
-
-    def counted(keys: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The weight of the training keys that equal each key, by binary search."""
-        order = np.argsort(of)
-        ranked, run = of[order], np.concatenate([[0], np.cumsum(weights[order])])
-        return run[np.searchsorted(ranked, keys, "right")] - run[np.searchsorted(ranked, keys, "left")]
-
-    # contexts of two words; from here on ``now`` is in suffix-array order and ``group`` numbers its intervals
-    now = np.arange(n)
-    key = np.empty(n, np.uint64)
-    for f, a, b in zip(opened, edge, edge[1:]):
-        key[a:b] = mix(f.hashes[f.words[pos[a:b] - 1]] + mix(f.hashes[f.words[pos[a:b] - 2]] + _R))
-    depth = 2
-    while True:
+    # contexts of two words; ``now`` is in suffix-array order and ``group`` numbers its intervals
+    now, depth = np.arange(n), 2
+    while len(now):
         order = np.argsort(key)
         now, key = now[order], key[order]
         first = np.empty(len(key), bool)
         first[:1], first[1:] = True, key[1:] != key[:-1]
         start = np.flatnonzero(first)
-        if len(start) >= 1 << 24:
-            raise ValueError("a shard has too many contexts: make shard_words smaller")
         members = np.diff(np.append(start, len(key)))
-        known = np.add.reduceat(weight[now], start) if len(start) else members
-        # intervals without training text are done: the level before holds for their positions
-        keep = np.repeat(known > 0, members)
-        now, group, total = now[keep], np.repeat(np.arange(len(start)), members)[keep], np.repeat(known, members)[keep]
-        only = np.repeat(members, members)[keep] == 1  # no other position asks about it
+        # intervals without training text, or of one position, are done: what was found before holds
+        keep = np.repeat((np.add.reduceat(weight[now], start) > 0) & (members > 1) | (np.maximum.reduceat(weight[now], start) > 1), members)
+        group = np.repeat(np.arange(len(start), dtype=np.uint64), members)[keep]
+        now, key = now[keep], key[keep]
         if not len(now):
             break
-        own = weight[now]
-        mine = own > 0
-        pair = grouped(group, follows[now])
-        same = counted(pair, pair[mine], own[mine])
-        # an interval has one continuation if one of its training contexts says so
-        sole = group[mine & (same == total)]
-        pure = np.zeros(int(group[-1]) + 1, bool)
-        pure[sole] = True
-        pure = pure[group]
+        total, same, pure = _weigh(group, follows[now], weight[now], text[now])
+        some = total > 0
         level = min(depth, CLASSES)
-        settled = (pure & (depth >= CLASSES)) | (depth >= HORIZON)
-        # what holds unless a longer context is found
-        share[now], kind[now] = same / total, level
-        far = ~settled & (before[now] > depth)
-        # a training context on its own, which no other position asks about, agrees with itself at any depth
-        lone = far & only & (total == 1)
-        share[now[lone]], kind[now[lone]] = 1, np.minimum(before[now[lone]], CLASSES)
-        go = far & ~lone
-        nxt = grouped(group[go], word(now[go], depth + 1))
-        deeper = np.zeros(len(now), np.int64)
-        deeper[go] = counted(nxt, nxt[mine[go]], own[go][mine[go]])
-        # leave-one-out: the deepest interval that holds another training context
-        last = mine & (total > 1) & (settled | (deeper <= 1))
-        left[level] += (float((own[last] * (same[last] - 1) / (total[last] - 1)).sum()), int(own[last].sum()))
-        on = deeper[go] > 0
-        now, key = now[go][on], nxt[on]
-        depth += 1
-        if not len(now):
+        share[now[some]], kind[now[some]] = same[some] / total[some], level
+        # an interval goes on while anything in it still has a match
+        live = np.zeros(int(group[-1]) + 1, bool)
+        live[group[some].astype(np.int64)] = True
+        go = live[group.astype(np.int64)] & (before[now] > depth)
+        if depth >= CLASSES:
+            go &= ~pure
+        now, key, group = now[go], key[go], group[go]
+        if depth >= deep:
+            _paths(now, group, depth, pos, before, weight, follows, text, share, kind, word, lambda i: files(rows[i][2]))
             break
+        depth += 1
+        key = mix(key + mix(word(now, depth) + np.uint64(depth) * _R))
+    left = np.zeros((CLASSES + 1, 2))
+    for level in range(2, CLASSES + 1):
+        mine = (kind == level) & (weight > 0)
+        left[level] = float((share[mine] * weight[mine]).sum()), int(weight[mine].sum())
     out: list[tuple] = []
     for r, a, b in zip(rows, edge, edge[1:]):
         s = share[a:b]
@@ -316,6 +345,112 @@ def _search(rows: list[tuple], files) -> list[tuple]:
     return out
 
 
+def _weigh(group: np.ndarray, follows: np.ndarray, weight: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each position: the weight of its interval, that with its continuation - both without its own text, if that is learned
+    from - and whether all training continuations of the interval agree."""
+    g = group.astype(np.int64)
+    all_ = np.bincount(g, weight).astype(np.int64)[g]
+    mine = weight > 0
+    pair = mix(group * _R + follows)
+    agree = _counted(pair, pair[mine], weight[mine])
+    pure = np.zeros(int(g.max()) + 1, bool)
+    pure[g[mine & (agree == all_)]] = True
+    total, same = all_.copy(), agree.copy()
+    own = mix(group[mine] * _R + mix(text[mine]))
+    total[mine] -= _repeats(own)
+    same[mine] -= _repeats(mix(own + follows[mine]))
+    return total, same, pure[g]
+
+
+def _paths(now, group, depth, pos, before, weight, follows, text, share, kind, word, file_of) -> None:
+    """The rest of the search, for intervals whose continuations disagree at ``depth`` words.
+
+    In every round each interval is compared with one of its contexts: how far a context
+    goes along with it (by binary search over prefix hashes) says in which interval on
+    that path its longest match lies. Contexts that leave the path together are the
+    intervals of the next round.
+    """
+    # prefix hashes of the texts concerned
+    texts, of = np.unique(text[now], return_inverse=True)
+    base = np.zeros(len(texts), np.int64)
+    sums, starts, used = [], np.zeros(len(texts), np.int64), 0
+    for i, t in enumerate(texts.tolist()):
+        f = file_of(t >> 32)
+        d = t & 0xFFFFFFFF
+        a, b = int(f.starts[d]), int(f.starts[d + 1]) if d + 1 < len(f.starts) else len(f.words)
+        up, _ = _power(b - a + 1)
+        sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(f.hashes[f.words[a:b]]) * up[: b - a], dtype=np.uint64)]))
+        base[i], starts[i] = a, used
+        used += b - a + 1
+    sums = np.concatenate(sums) if sums else np.zeros(0, np.uint64)
+    longest = int(before[now].max()) + 1 if len(now) else 1
+    up, down = _power(longest + 1)
+    offset = np.zeros(len(pos), np.int64)
+    offset[now] = starts[of] - base[of]  # where a position's prefix sum lies
+    shift = np.zeros(len(pos), np.int64)
+    shift[now] = base[of]
+
+    def prefix(which: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Hash of the k words before each position."""
+        end = pos[which]
+        return (sums[end + offset[which]] - sums[end - k + offset[which]]) * down[end - k - shift[which]]
+
+    depth = np.full(len(now), depth, np.int64)  # of each position's interval
+    while len(now):
+        _, g = np.unique(group, return_inverse=True)
+        # the training context with most words before it leads
+        order = np.lexsort((-before[now], weight[now] == 0, g))
+        now, g, depth = now[order], g[order], depth[order]
+        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        lead = now[start][g]
+        low, high = depth.copy(), np.minimum(before[now], before[lead]).astype(np.int64)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            equal = prefix(now, mid) == prefix(lead, mid)
+            low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+        along = low
+        # the longest part of the path that another text goes along; copies of one's own text are other texts
+        t, w, fol = text[now].astype(np.int64), weight[now], follows[now]
+        other = np.where(w > 1, -np.arange(1, len(now) + 1), t)
+        order = np.lexsort((-along, w == 0, g))
+        top = order[np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))]
+        best, whose = np.where(w[top] > 0, along[top], -1), other[top]
+        second = np.full(len(top), -1)
+        rest = (w > 0) & (other != whose[g])
+        np.maximum.at(second, g[rest], along[rest])
+        k = np.minimum(along, np.where(whose[g] == t, second[g], best[g]))
+        known = k >= depth
+
+        def weigh(label: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            """For each position the weights with its label that go along for k words or more."""
+            names, number = np.unique(label, return_inverse=True)
+            place = number.astype(np.int64) << 32
+            has = weights > 0
+            keys = place[has] + along[has]
+            order = np.argsort(keys)
+            run = np.concatenate([[0], np.cumsum(weights[has][order])])
+            return run[np.searchsorted(keys[order], place + (1 << 32) - 1, "right")] - run[np.searchsorted(keys[order], place + np.maximum(k, 0), "left")]
+
+        u = g.astype(np.uint64)
+        ones = (w > 0).astype(np.int64)
+        mine = np.where(w > 0, 1, 0)
+        total = weigh(g, w) - mine * weigh(mix(u * _R + mix(t.astype(np.uint64))), ones)
+        same = weigh(mix(u * _R + fol), w) - mine * weigh(mix(mix(u * _R + mix(t.astype(np.uint64))) + fol), ones)
+        known &= total > 0
+        share[now[known]], kind[now[known]] = same[known] / total[known], CLASSES
+        # who leaves the path before its own text ends
+        off = np.flatnonzero(before[now] > along)
+        if not len(off):
+            return
+        nxt = word(now[off], along[off] + 1)
+        group = mix(mix(u[off] * _R + along[off].astype(np.uint64)) + nxt)
+        names, number, members = np.unique(group, return_inverse=True, return_counts=True)
+        learned, copies = np.bincount(number, w[off]), np.zeros(len(names), np.int64)
+        np.maximum.at(copies, number, w[off])
+        stay = ((members > 1) & (learned > 0) | (copies > 1))[number]
+        now, group, depth = now[off][stay], group[stay], along[off][stay] + 1
+
+
 def _in_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
     """Rows of a partition sorted by ``columns``, one list for each value of them."""
     held: list[tuple] = []
@@ -333,12 +468,14 @@ def _in_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
         yield held
 
 
-def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", train: str = "train", *, shard_words: int = SHARD_WORDS) -> DataFrame:
+def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", train: str = "train", *, shard_words: int = SHARD_WORDS, deep: int = DEEP) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
 
-    ``train`` (boolean, null: false) marks the rows that are learned from. A null or
-    empty text is its end token alone. Repeated rows are learned from and scored
-    each. Without a training row every token is unknown. No row: no result.
+    ``train`` (boolean, null: false) marks the rows that are learned from; ``score`` leaves
+    such a row out of what it is scored by, ``base_score`` does not. A null or empty text
+    is its end token alone. Repeated rows are learned from and scored each, and are known
+    to each other. Without a training row every token is unknown. Other columns are not
+    looked at. No row: no result.
     """
     spark = df.sparkSession
     uri = scratch(spark, "ngrams")
@@ -352,15 +489,18 @@ def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     sent = _write_corpus(src, f"{uri}/corpus", shards)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, _File] = {}
+        cache: OrderedDict[int, _File] = OrderedDict()
 
         def files(i: int) -> _File:
             if i not in cache:
                 cache[i] = _File(f"{uri}/corpus", i)
+                if len(cache) > OPEN_FILES:
+                    cache.popitem(last=False)
+            cache.move_to_end(i)
             return cache[i]
 
         for rows in _in_runs(batches, ["kind", "shard"]):
-            for x in _search(rows, files) if rows[0][0] == 0 else _count_words(rows):
+            for x in _search(rows, files, deep) if rows[0][0] == 0 else _count_words(rows):
                 yield _rows([x])
 
     tasks = max(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -377,13 +517,17 @@ def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
             number = rows[0][2]
             f = _File(f"{uri}/corpus", number)
             words, hashes, starts = np.asarray(f.words), np.asarray(f.hashes), np.asarray(f.starts)
-            seen = np.zeros(len(hashes), np.int64)
             order, cut = _word_shards(hashes, shards)
+            pairs, pair = _pairs(words, hashes, starts)
+            met_order, met_cut = _word_shards(pairs, shards)
             at, bounds = _positions(words, hashes, starts, shards)
+            seen, met = np.zeros(len(hashes), np.int64), np.zeros(len(pairs), np.int64)
             weight, share = np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
             for what, shard, _, n, m, blob in rows:
                 if what == 3:
                     seen[order[cut[shard] : cut[shard + 1]]] = _unpack(blob, n, "<i8")
+                elif what == 7:
+                    met[met_order[met_cut[shard] : met_cut[shard + 1]]] = _unpack(blob, n, "<i8")
                 else:
                     raw = _unpack(blob, n + 4 * m, "u1")
                     code, q = raw[:n], (raw[:n] % 4 == 1).astype(np.float32)
@@ -392,8 +536,18 @@ def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
                     weight[p], share[p] = lam[code // 4], q
             c = seen[words]
             base = np.log10(c + 1.0) - unit
-            p = weight * share + (1 - weight) * 10**base
-            score = np.where(weight > 0, np.log10(np.maximum(p, 1e-300)), base)
+            # what the text itself adds to the counts of words and pairs
+            sizes = np.diff(np.append(starts, len(words)))
+            doc = np.repeat(np.arange(len(starts)), sizes)
+            learned = (np.asarray(f.weight) > 0)[doc]
+            mine = np.where(learned, _repeats((doc << 32) + words), 0)
+            p = (c - mine + 1.0) / (total + distinct + 1.0 - np.where(learned, sizes[doc], 0))
+            inner = np.ones(len(words), bool)
+            inner[starts] = False
+            i = np.flatnonzero(inner)
+            own = np.where(learned[i], _repeats((doc[i] << 32) + pair[i - 1]), 0)
+            p[i] = (met[pair[i - 1]] - own + MU * p[i]) / (c[i - 1] - mine[i - 1] + MU)
+            score = np.log10(np.maximum(weight * share + (1 - weight) * p, 1e-300))
             n = np.diff(np.append(starts, len(words)))
             fs, path = open_fs(f"{uri}/corpus")
             with fs.open_input_file(f"{path}/{number}.ids") as source:
@@ -403,7 +557,7 @@ def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
             cols = [ids, *[pa.array(x[each]) for x in sums]]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = got.where("kind in (2, 3)").repartition(max(2, tasks // 2), "file").sortWithinPartitions("file")
+    back = got.where("kind in (2, 3, 7)").repartition(max(2, tasks // 2), "file").sortWithinPartitions("file")
     return back.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 

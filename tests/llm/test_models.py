@@ -19,71 +19,103 @@ def tokens(text):
 
 
 def naive_scores(rows):
-    """(base, score) of each row by dictionaries of all contexts."""
-    train = [tokens(t) for _, t, y in rows if y]
+    """(n_tokens, n_known, train_tokens, base, score) of each row by dictionaries of all contexts, a training row left out of its own."""
+    texts = [tokens(t) for _, t, _ in rows]
+    train = [t for t, (_, _, y) in zip(texts, rows) if y]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    after: dict = {}
-    for t in train:
-        for i in range(2, len(t)):
-            for k in range(2, min(i, lm.HORIZON) + 1):
-                after.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
-
-    def found(t, i):
-        best = None
-        for k in range(2, min(i, lm.HORIZON) + 1):
-            x = after.get(tuple(t[i - k : i]))
-            if x is None:
-                break
-            best = (k, x[t[i]] / sum(x.values()))
-        return best
 
-    hits = [[0.0, 0] for _ in range(lm.CLASSES + 1)]
+    def contexts(t):
+        out: dict = {}
+        for i in range(1, len(t)):
+            for k in range(1, i + 1):
+                out.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+        return out
+
+    after: dict = {}
     for t in train:
-        for i in range(2, len(t)):
-            best = None
-            for k in range(2, min(i, lm.HORIZON) + 1):
-                x = after[tuple(t[i - k : i])]
-                if sum(x.values()) < 2:
+        for k, x in contexts(t).items():
+            after.setdefault(k, Counter()).update(x)
+
+    found, own_words = [], []
+    for t, (_, _, y) in zip(texts, rows):
+        own = contexts(t) if y else {}
+        own_words.append(Counter(t) if y else Counter())
+        mine = []
+        for i in range(len(t)):
+            best = [None, None]
+            for k in range(1, i + 1):
+                x, z = after.get(tuple(t[i - k : i]), Counter()), own.get(tuple(t[i - k : i]), Counter())
+                total = sum(x.values()) - sum(z.values())
+                if total < 1:
                     break
-                best = (k, (x[t[i]] - 1) / (sum(x.values()) - 1))
-            if best:
-                hits[min(best[0], lm.CLASSES)][0] += best[1]
-                hits[min(best[0], lm.CLASSES)][1] += 1
+                best[k > 1] = (k, x[t[i]] - z[t[i]], total)
+            mine.append(best)
+        found.append(mine)
+    hits = [[0.0, 0] for _ in range(lm.CLASSES + 1)]
+    for mine, (_, _, y) in zip(found, rows):
+        for _, b in mine if y else []:
+            if b:
+                hits[min(b[0], lm.CLASSES)][0] += b[1] / b[2]
+                hits[min(b[0], lm.CLASSES)][1] += 1
     lam = [min(0.98, h / (m + 2)) for h, m in hits]
     out = []
-    for _, text, _ in rows:
-        t, base, score = tokens(text), 0.0, 0.0
-        for i, w in enumerate(t):
-            u = (c[w] + 1) / (n + v + 1)
-            base += math.log10(u)
-            b = found(t, i) if i >= 2 else None
-            score += math.log10(lam[min(b[0], lm.CLASSES)] * b[1] + (1 - lam[min(b[0], lm.CLASSES)]) * u) if b and lam[min(b[0], lm.CLASSES)] > 0 else math.log10(u)
+    for t, mine, own in zip(texts, found, own_words):
+        base, score = 0.0, 0.0
+        for w, (one, b) in zip(t, mine):
+            base += math.log10((c[w] + 1) / (n + v + 1))
+            p = (c[w] - own[w] + 1) / (n + v + 1 - sum(own.values()))
+            if one:
+                p = (one[1] + lm.MU * p) / (one[2] + lm.MU)
+            if b:
+                x = lam[min(b[0], lm.CLASSES)]
+                p = x * b[1] / b[2] + (1 - x) * p
+            score += math.log10(p)
         out.append((len(t), sum(c[w] > 0 for w in t), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("shard_words", [10**6, 40])
-def test_scores_as_by_dictionaries(spark, shard_words):
+@pytest.mark.parametrize("shard_words, deep", [(10**6, 64), (40, 8), (10**6, 6)])
+def test_scores_as_by_dictionaries(spark, shard_words, deep):
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(30)]
+    boiler = [f"b{i % 41}" for i in range(90)]
     rows = []
     for i in range(60):
         w = [f"w{min(int(rng.expovariate(0.3)), 40)}" for _ in range(rng.randint(0, 60))]
         if i % 3 == 0:
             w[len(w) // 2 : 0] = passage[: rng.randint(5, 30)]
         if i % 7 == 0:
-            w += ["Again"] * 90
+            w += ["Again"] * rng.randint(60, 110)
+        if i % 5 == 0:  # contexts of over 64 words that go on differently
+            w += boiler[rng.randint(0, 10) :] + [f"w{i % 3}", "x", f"w{i % 2}"]
         rows.append((i, " ".join(w) if i else None, i % 4 != 0))
     rows += [(60, rows[5][1], True), *[(61 + i, rows[9][1], i % 3 > 0) for i in range(12)], (80, rows[8][1], False)]
     d = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
-    got = {r["doc_id"]: r for r in lm.score_unbounded(d, shard_words=shard_words).collect()}
+    got = {r["doc_id"]: r for r in lm.score_unbounded(d, shard_words=shard_words, deep=deep).collect()}
     for (i, _, _), want in zip(rows, naive_scores(rows)):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
         assert r["base_score"] == pytest.approx(want[3], abs=1e-6) and r["score"] == pytest.approx(want[4], rel=2e-4, abs=1e-3), i
 
 
+def test_repeated_texts_stand_out(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(80))
+    rows = [(i, text(), True) for i in range(200)]
+    rows += [(200 + i, rows[i][1], i % 2 == 0) for i in range(40)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score_unbounded(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
+    once = [got[i] for i in range(40, 200)]
+    twice = [got[i] for i in [*range(0, 40, 2), *range(200, 240)]]  # those that another training row repeats
+    assert min(twice) > max(once) and all(got[i] <= max(once) for i in range(1, 40, 2))
+
+
+def test_a_word_repeated_many_times(spark):
+    rows = [(1, "go " * 50_000, True), (2, "go " * 30_000 + "stop", True), (3, "go " * 40_000, False), (4, "stop here", True)]
+    got = {r["doc_id"]: r for r in lm.score_unbounded(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
+    assert got[3]["score"] / got[3]["n_tokens"] > -0.1 and got[1]["n_tokens"] == 50_001
+
+
 def test_lm_edges(spark):
     d = spark.createDataFrame([(1, None, False), (None, "a b c", True), (2, "a b c", None), (2, "a b c", None)], "doc_id long, text string, train boolean")
     assert lm.score_unbounded(d).count() == 4
