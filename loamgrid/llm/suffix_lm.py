@@ -55,7 +55,7 @@ MU = 20.0
 DEEP = 64
 OPEN_FILES = 32
 SHARD_WORDS = 1_200_000
-FILE_WORDS = 4_000_000
+FILE_WORDS = 3_000_000
 _UNIT = 1_000_000  # sums of shares travel as millionths
 _END = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD6E8FEB86659FD93)
@@ -191,9 +191,9 @@ def _write_file(uri: str, number: int, held: list[tuple], shards: int) -> Iterat
         if len(p):
             found.append((0, s, number, len(p), 0, _pack(np.diff(p, prepend=0).astype("<u4"))))
         if len(u):
-            found.append((1, s, number, len(u), int(counts[u].sum()), _pack(np.concatenate([hashes[u].view("<u4"), counts[u]]))))
+            found.append((1, s, number, len(u), int(counts[u].sum()), _pack(np.concatenate([np.diff(hashes[u], prepend=np.uint64(0)).view("<u4"), counts[u]]))))
         if len(v):
-            found.append((6, s, number, len(v), 0, _pack(np.concatenate([pairs[v].view("<u4"), met[v]]))))
+            found.append((6, s, number, len(v), 0, _pack(np.concatenate([np.diff(pairs[v], prepend=np.uint64(0)).view("<u4"), met[v]]))))
         if found:
             yield _rows(found)
 
@@ -245,7 +245,7 @@ def _count_words(rows: list[tuple]) -> list[tuple]:
     each = []
     for _, shard, file, n, _, blob in rows:
         a = _unpack(blob, 3 * n, "<u4")
-        each.append((shard, file, a[: 2 * n].view("<u8"), a[2 * n :]))
+        each.append((shard, file, np.cumsum(a[: 2 * n].view("<u8"), dtype=np.uint64), a[2 * n :]))  # keys ascend
     keys, where = np.unique(np.concatenate([x[2] for x in each]), return_inverse=True)
     total = np.bincount(where, np.concatenate([x[3] for x in each]), len(keys)).astype(np.int64)
     single = rows[0][0] == 1
@@ -256,17 +256,38 @@ def _count_words(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def _runs(ranked: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    first = np.empty(len(ranked), bool)
+    first[:1], first[1:] = True, ranked[1:] != ranked[:-1]
+    return np.flatnonzero(first)
+
+
 def _repeats(keys: np.ndarray) -> np.ndarray:
     """How often each key occurs among all."""
-    _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return n[which]
+    order = np.argsort(keys)
+    n = np.diff(np.append(_runs(keys[order]), len(keys)))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
 
 
-def _counted(keys: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The weight of the training keys that equal each key, by binary search."""
-    order = np.argsort(of)
-    ranked, run = of[order], np.concatenate([[0], np.cumsum(weights[order])])
-    return run[np.searchsorted(ranked, keys, "right")] - run[np.searchsorted(ranked, keys, "left")]
+def _counted(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weight of the training keys that equal each key: of their own run, or found by binary search."""
+    out = np.zeros(len(keys), np.int64)
+    mine, query = np.flatnonzero(weights > 0), np.flatnonzero(weights == 0)
+    if not len(mine):
+        return out
+    order = mine[np.argsort(keys[mine])]
+    ranked = keys[order]
+    start = _runs(ranked)
+    sums = np.add.reduceat(weights[order], start)
+    out[order] = np.repeat(sums, np.diff(np.append(start, len(ranked))))
+    if len(query):
+        ranked = ranked[start]
+        at = np.minimum(np.searchsorted(ranked, keys[query]), len(ranked) - 1)
+        out[query] = np.where(ranked[at] == keys[query], sums[at], 0)
+    return out
 
 
 def _search(rows: list[tuple], files, deep: int = DEEP) -> list[tuple]:
@@ -302,6 +323,7 @@ def _search(rows: list[tuple], files, deep: int = DEEP) -> list[tuple]:
 
     # contexts of two words; ``now`` is in suffix-array order and ``group`` numbers its intervals
     now, depth = np.arange(n), 2
+    lone = np.zeros(n, bool)  # whose text has the context once: longer ones as well
     while len(now):
         order = np.argsort(key)
         now, key = now[order], key[order]
@@ -315,7 +337,7 @@ def _search(rows: list[tuple], files, deep: int = DEEP) -> list[tuple]:
         now, key = now[keep], key[keep]
         if not len(now):
             break
-        total, same, pure = _weigh(group, follows[now], weight[now], text[now])
+        total, same, pure = _weigh(group, follows[now], weight[now], text[now], now, lone)
         some = total > 0
         level = min(depth, CLASSES)
         share[now[some]], kind[now[some]] = same[some] / total[some], level
@@ -345,20 +367,24 @@ def _search(rows: list[tuple], files, deep: int = DEEP) -> list[tuple]:
     return out
 
 
-def _weigh(group: np.ndarray, follows: np.ndarray, weight: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weigh(group: np.ndarray, follows: np.ndarray, weight: np.ndarray, text: np.ndarray, now: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each position: the weight of its interval, that with its continuation - both without its own text, if that is learned
-    from - and whether all training continuations of the interval agree."""
+    from - and whether all training continuations of the interval agree. Marks those whose text is in the interval once."""
     g = group.astype(np.int64)
-    all_ = np.bincount(g, weight).astype(np.int64)[g]
+    total = np.bincount(g, weight).astype(np.int64)[g]
     mine = weight > 0
-    pair = mix(group * _R + follows)
-    agree = _counted(pair, pair[mine], weight[mine])
-    pure = np.zeros(int(g.max()) + 1, bool)
-    pure[g[mine & (agree == all_)]] = True
-    total, same = all_.copy(), agree.copy()
-    own = mix(group[mine] * _R + mix(text[mine]))
-    total[mine] -= _repeats(own)
-    same[mine] -= _repeats(mix(own + follows[mine]))
+    same = _counted(mix(group * _R + follows), weight)
+    pure = np.zeros(int(g[-1]) + 1, bool)
+    pure[g[mine & (same == total)]] = True
+    total[mine] -= 1
+    same[mine] -= 1
+    often = np.flatnonzero(mine & ~lone[now])
+    own = mix(group[often] * _R + mix(text[often]))
+    n = _repeats(own)
+    lone[now[often[n == 1]]] = True
+    often, own, n = often[n > 1], own[n > 1], n[n > 1]
+    total[often] -= n - 1
+    same[often] -= _repeats(mix(own + follows[often])) - 1
     return total, same, pure[g]
 
 
@@ -545,8 +571,11 @@ def score_unbounded(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
             inner = np.ones(len(words), bool)
             inner[starts] = False
             i = np.flatnonzero(inner)
-            own = np.where(learned[i], _repeats((doc[i] << 32) + pair[i - 1]), 0)
-            p[i] = (met[pair[i - 1]] - own + MU * p[i]) / (c[i - 1] - mine[i - 1] + MU)
+            both = met[pair[i - 1]]
+            own = learned[i].astype(np.int64)
+            often = np.flatnonzero(learned[i] & (both > 1))  # others are the text's own, once
+            own[often] = _repeats((doc[i[often]] << 32) + pair[i[often] - 1])
+            p[i] = (both - own + MU * p[i]) / (c[i - 1] - mine[i - 1] + MU)
             score = np.log10(np.maximum(weight * share + (1 - weight) * p, 1e-300))
             n = np.diff(np.append(starts, len(words)))
             fs, path = open_fs(f"{uri}/corpus")
