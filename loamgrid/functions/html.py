@@ -8,23 +8,28 @@ import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import unquote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (tag, attribute) of references that render as part of the page.
-RENDER = {("img", "src"), ("script", "src"), ("source", "src"), ("video", "src"), ("video", "poster"), ("audio", "src"), ("iframe", "src"), ("embed", "src"), ("track", "src"), ("object", "data"), ("input", "src")}
-HYPERLINK = {("a", "href"), ("area", "href")}
-RENDER_RELS = {"stylesheet", "icon", "shortcut", "apple-touch-icon", "preload", "modulepreload", "manifest", "mask-icon"}
-META_IMAGES = {"og:image", "og:image:url", "og:image:secure_url", "twitter:image", "og:video", "og:audio"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+from .urls import ADMIN_PATHS, ASSET_TREES, LONGEST
+
+#: Attributes, by tag, of references that lead to other pages, and of those that render as part of the page.
+HYPERLINKS = {"a": ("href",), "form": ("action",), **{t: ("cite",) for t in ("blockquote", "del", "ins", "q")}}
+RENDERED = {**{t: ("src",) for t in ("audio", "embed", "iframe", "img", "script", "source", "track")}, "object": ("data",), "video": ("src", "poster")}
+HYPERLINK, RENDER = ({(t, x) for t, xs in d.items() for x in xs} for d in (HYPERLINKS, RENDERED))
+RENDER_RELS, LINK_RELS = {"apple-touch-icon", "icon", "preload", "stylesheet"}, {"canonical", "next", "prev"}
+META_KINDS = {"og:image": "render", "twitter:image": "render", "og:url": "hyperlink"}
+SKIPPED = ("#", "data:", "javascript:", "mailto:", "tel:")
 
 CSS_URL = r"url\(\s*['\"]?((?!data:)[^'\")]+?)['\"]?\s*\)"
 CSS_IMPORT = r"@import\s+['\"]([^'\"]+)['\"]"
-#: Absolute, protocol-relative and root-relative URLs inside a larger text.
-SHAPES = (r"(https?://[^\s\"'<>\\)]+)", r"(?<![:\w])(//[\w.-]+\.[a-z]{2,}/[^\s\"'<>\\)]*)", r"[\"'](/[\w./%?=&+~-]+)[\"']")
+_BODY = r"[^\s\"'<>\\*{}]"
+_SUFFIXES = "bmp|css|eot|gif|ico|jpe?g|js|mp3|mp4|pdf|png|svg|ttf|webm|webp|woff2?"
+#: URL-shaped strings inside a larger text: whole URLs, paths of a site's asset trees, paths that end as a file does.
+SHAPES = (rf"(?i)((?:https?:)?//{_BODY}+)", rf"(?i)(/wp-(?:content|includes)/{_BODY}+)", rf"(?i)(/{_BODY}+\.(?:{_SUFFIXES})(?:\?{_BODY}*)?)")
 
 
 def without_code(html: Column) -> Column:
@@ -67,6 +72,26 @@ def anchors(html: Column) -> Column:
     return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r'(?i)href="([^"]*)"', 1).alias("href"), collapsed(F.regexp_replace(a, r"(?s)<[^>]*>", " ")).alias("text")))
 
 
+def unlikely(url: str) -> bool:
+    """As ``urls.unlikely_real``: unparseable, a folder, longer than a URL can be, or a site's machinery."""
+    url = url.rstrip()
+    try:
+        path = urlsplit(url).path
+    except ValueError:
+        return True
+    folder = url.endswith("/") or (path.startswith(ASSET_TREES) and "." not in path.rpartition("/")[2])
+    return folder or len(url) > LONGEST or path.startswith(ADMIN_PATHS)
+
+
+def shaped(text: str) -> list[str]:
+    plain = text.replace("\\/", "/")
+    return [m[1] for p in SHAPES for m in re.finditer(p, plain) if not unlikely(m[1])]
+
+
+def _is_url(x: str) -> bool:
+    return x.strip().startswith(("http://", "https://", "/"))
+
+
 def json_urls(value) -> Iterator[str]:
     """URL-shaped leaves of a JSON value, depth first."""
     todo = [value]
@@ -76,87 +101,104 @@ def json_urls(value) -> Iterator[str]:
             todo += reversed(list(x.values()))
         elif isinstance(x, list):
             todo += reversed(x)
-        elif isinstance(x, str) and x.strip().startswith(("http://", "https://", "//", "/")):
+        elif isinstance(x, str) and _is_url(x) and not unlikely(x):
             yield x.strip()
 
 
-def bundle_components(url: str) -> list[str]:
-    """Components of a concatenated-assets URL (``/_static/??``): a comma list, or ``-`` and base64 of its zlib form."""
-    head, mark, tail = url.partition("??")
-    if not mark or "/_static/" not in head + "/":
-        return []
-    body = tail.split("&")[0]
+def bundle_components(url: str) -> list[str] | None:
+    """Components of a concatenated-assets URL (``/_static/??``): a comma list, or ``-`` and base64 of its zlib form; None for others."""
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return None
+    if not parts.path.endswith("/_static/") or not parts.query.startswith("?"):
+        return None
+    body = unquote(parts.query[1:]).partition("&")[0]
     if body.startswith("-"):
         try:
-            raw = body[1:].split("?")[0]
-            body = zlib.decompress(base64.b64decode(raw + "=" * (-len(raw) % 4))).decode()
+            body = zlib.decompress(base64.b64decode(body[1:] + "=" * (-len(body[1:]) % 4))).decode()
         except (ValueError, zlib.error):
-            return []
-    return [urljoin(head, x) for x in body.split(",") if x]
+            return None
+    root = f"{parts.scheme}://{parts.netloc}/"
+    return [urljoin(root, x.strip()) for x in body.split(",") if x.strip()] or None
 
 
 class _Walker(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.out, self.stack, self.text = base, [], [], None
+        self.base, self.out, self.text = base, [], None
         self.raw: tuple[str, str] | None = None
 
     def _add(self, kind: str, context: str, value: str | None, text: str = "") -> bool:
+        """Whether it became a row; a bundle becomes a row a component."""
         value = (value or "").strip()
-        if value and not value.lower().startswith(("data:", "javascript:", "mailto:", "tel:", "blob:", "about:", "#")):
-            try:
-                self.out.append([kind, context, value, urljoin(self.base, value), text])
-                return True
-            except ValueError:
-                pass
-        return False
+        if not value or value.startswith(SKIPPED):
+            return False
+        try:
+            url = urljoin(self.base, value)
+            urlsplit(url)
+        except ValueError:
+            return False
+        parts = bundle_components(url)
+        if parts is None:
+            self.out.append([kind, context, value, url, text])
+        else:
+            self.out += [[kind, context + "->static-bundle", value, x, text] for x in parts]
+        return True
+
+    def _srcset(self, context: str, value: str) -> None:
+        for x in value.split(","):
+            if x.split():
+                self._add("render", context, x.split()[0])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        for k, v in a.items():
-            if (tag, k) in HYPERLINK:
-                if self._add("hyperlink", f"{tag}[{k}]", v) and tag == "a":
-                    self.text = (len(self.out) - 1, [], a.get("title") or a.get("aria-label") or "")
-            elif (tag, k) in RENDER:
-                self._add("render", f"{tag}[{k}]", v)
-            elif k in ("srcset", "data-srcset", "imagesrcset"):
-                for x in v.split(","):
-                    self._add("render", f"{tag}[{k}]", x.split()[0] if x.split() else "")
-            elif k == "style":
-                self._css("style-attribute", v)
-            elif k.startswith("data-") and v.strip().startswith(("http://", "https://", "//", "/")):
-                self._add("render", f"{tag}[{k}]", v)
+        a = {k: v or "" for k, v in reversed(attrs)}  # of equal attributes the first counts
+        for k in HYPERLINKS.get(tag, ()):
+            if a.get(k) and self._add("hyperlink", f"{tag}[{k}]", a[k]) and tag == "a":
+                self.text = (len(self.out) - 1, [], a.get("title") or a.get("aria-label") or "")
+        for k in RENDERED.get(tag, ()):
+            self._add("render", f"{tag}[{k}]", a.get(k))
+        if tag in ("img", "source") and a.get("srcset"):
+            self._srcset(f"{tag}[srcset]", a["srcset"])
         if tag == "link" and a.get("href"):
             rels = set(a.get("rel", "").lower().split())
-            if rels & RENDER_RELS:
-                self._add("render", "link[href]", a["href"])
-            elif "canonical" in rels:
-                self._add("canonical", "link[canonical]", a["href"])
-            elif rels & {"next", "prev", "alternate"}:
-                self._add("hyperlink", "link[href]", a["href"])
-        if tag == "meta" and (a.get("property") or a.get("name") or "").lower() in META_IMAGES:
-            self._add("render", "meta[content]", a.get("content"))
+            kind = "render" if rels & RENDER_RELS else "hyperlink" if rels & LINK_RELS else None
+            if kind:
+                self._add(kind, f"link[rel={'|'.join(sorted(rels))}]", a["href"])
+        if tag == "meta" and a.get("content"):
+            name = (a.get("property") or a.get("name") or "").lower()
+            if name in META_KINDS:
+                self._add(META_KINDS[name], f"meta[{name}]", a["content"])
+        for m in re.finditer(CSS_URL, a.get("style", ""), re.I):
+            self._add("render", f"{tag}[style]", m[1])
+        for k, v in a.items():
+            if k.startswith("data-"):
+                if "srcset" in k:
+                    self._srcset(f"{tag}[{k}]", v)
+                elif _is_url(v) and not unlikely(v):
+                    self._add("render", f"{tag}[{k}]", v)
+                else:
+                    for x in shaped(v):
+                        self._add("render", f"{tag}[{k}]", x)
         if tag == "img" and self.text and a.get("alt"):
             self.text[1].append(a["alt"])
         if tag in ("script", "style"):
-            self.raw = (tag, a.get("type", ""))
-
-    def _css(self, context: str, css: str) -> None:
-        for x in [*re.findall(CSS_URL, css), *re.findall(CSS_IMPORT, css)]:
-            self._add("render", context, x)
+            self.raw = (tag, a.get("type", "").lower())
 
     def handle_data(self, data: str) -> None:
         if self.raw and self.raw[0] == "style":
-            self._css("style", data)
+            for kind, pattern in (("css:url()", CSS_URL), ("css:@import", CSS_IMPORT)):
+                for m in re.finditer(pattern, data, re.I):
+                    self._add("render", f"style:{kind}", m[1])
         elif self.raw:
-            try:
-                found = list(json_urls(json.loads(data)))
-            except ValueError:
-                plain = data.replace("\\/", "/")
-                found = [x for p in SHAPES for x in re.findall(p, plain)]
-            for x in found:
-                if not x.endswith("/"):
-                    self._add("render", "script:json" if "json" in self.raw[1] else "script:text", x)
+            found = None
+            if self.raw[1] in ("", "application/json", "application/ld+json"):
+                try:
+                    found = list(json_urls(json.loads(data)))
+                except ValueError:
+                    pass
+            for x in shaped(data) if found is None else found:
+                self._add("render", "script:regex" if found is None else "script:json", x)
         elif self.text:
             self.text[1].append(data)
 
@@ -165,20 +207,20 @@ class _Walker(HTMLParser):
             self.raw = None
         elif tag == "a" and self.text:
             at, parts, other = self.text
-            if 0 <= at < len(self.out):
-                words = " ".join(" ".join(parts).split()) or other
-                self.out[at][4] = words if len(words) <= 120 else words[:119] + "…"
+            words = " ".join(" ".join(parts).split()) or other
+            self.out[at][4] = words if len(words) <= 120 else words[:119].rstrip() + "…"
             self.text = None
 
 
 def references(html: str | None, base: str | None) -> list[list[str]]:
-    """[kind, context, value, url, text] of every reference of a document, in order."""
+    """[kind, context, value, url, text] of every reference of a document, in order; where its markup breaks
+    the parser off, the last row is of kind ``truncated``."""
     walker = _Walker(base or "")
     try:
         walker.feed(html or "")
         walker.close()
-    except (AssertionError, ValueError):
-        pass  # what was found before the markup broke
+    except (AssertionError, ValueError) as e:
+        walker.out.append(["truncated", "parser", str(e), "", ""])
     return walker.out
 
 
@@ -199,16 +241,30 @@ def extract_references(pages: DataFrame, key: str = "page_id", url: str = "url",
     return src.mapInArrow(run, f"key {kind}, pos int, kind string, context string, value string, url string, text string").withColumnRenamed("key", key)
 
 
-#: Markup groups that mark a page as made by a plugin.
-PLUGIN_MARKUP = r'(?i)class="[^"]*\b(?:elementor|et_pb_|wp-block-|vc_row|fl-builder|gform_wrapper|wpcf7|ad)\b'
+#: Markup by which a plugin is told, in the order in which plugins are listed.
+PLUGINS = {
+    "contact_form_7": "wpcf7",
+    "elementor": "elementor-widget",
+    "gravity_forms": r"gform_(?:wrapper|\d)",
+    "jetpack_slideshow": "jetpack-slideshow",
+    "nextgen_gallery": "ngg-gallery|ngg_images",
+    "revolution_slider": "rev_slider",
+    "smart_slider": "n2-ss-slider",
+    "wpforms": "wpforms-form",
+}
 
 
 def has_form(html: Column) -> Column:
     return html.rlike(r"(?i)<form[\s>]")
 
 
+def plugins(html: Column) -> Column:
+    """The plugins whose markup a page has."""
+    return F.array_compact(F.array(*[F.when(html.rlike(p), F.lit(k)) for k, p in PLUGINS.items()]))
+
+
 def has_plugin_markup(html: Column) -> Column:
-    return html.rlike(PLUGIN_MARKUP)
+    return html.rlike("|".join(PLUGINS.values()))
 
 
 def attachment_body(html: Column) -> Column:

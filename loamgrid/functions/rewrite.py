@@ -142,24 +142,41 @@ def reassemble_bundles(parts: DataFrame, bundle: str = "bundle", order: str = "p
     return parts.groupBy(bundle).agg(F.array_join(F.transform(got, lambda x: x[text]), "\n").alias("text"), F.count("*").alias("n_parts"), F.count_if(F.col(text).isNull()).alias("n_missing"))
 
 
-TELEMETRY = ("google-analytics.com", "googletagmanager.com", "stats.wp.com", "pixel.wp.com", "connect.facebook.net", "hotjar.com", "scorecardresearch.com", "quantserve.com")
-_HOSTS = "|".join(re.escape(h) for h in TELEMETRY)
+#: Hosts that only measure: a reference whose host holds one of these is removed.
+TELEMETRY = tuple(
+    """analytics.tiktok.com bat.bing.com cdn.mxpnl.com cdn.segment.com clarity.ms connect.facebook.net doubleclick.net
+    google-analytics.com googleadservices.com googlesyndication.com googletagmanager.com matomo.cloud pixel.wp.com
+    quantserve.com s.pubmine.com scorecardresearch.com script.hotjar.com snap.licdn.com static.hotjar.com stats.wp.com""".split()
+)
+#: The same from a site's own host: parts of paths that plugins of that kind serve.
+TELEMETRY_PATHS = tuple("/analytify /ga.js /gtag.js /gtag/js /matomo.js /matomo/ /piwik.js /piwik/ facebook-pixel frontend-gtag google-analytics googlesitekit wp-analytify wp-statistics".split())
+#: What an inline script that measures says.
+TELEMETRY_CALLS = tuple("MonsterInsights GoogleAnalyticsObject __gaTracker __gtagTracker _gaq.push _hjSettings _paq.push _stq.push clarity(' facebook.com/tr fbq('init' fbq('track' ga('create' ga('send' gtag( hj(' mi_track_user wp_analytify www.googletagmanager.com/gtm.js".split())
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w).replace("/", "/") for w in words)
+
+
+_URL = rf"(?:(?:https?:)?//[^/\"'?#]*(?:{_any(TELEMETRY)})|(?:(?:https?:)?//[^/\"'?#]*)?/?[^\"'?#]*(?:{_any(TELEMETRY_PATHS)}))"
 
 
 def telemetry_reference(url: Column, keep: tuple[str, ...] = ()) -> Column:
-    """A host that only measures; the keep-list wins."""
-    kept = F.lit(False)
-    for k in keep:
-        kept = kept | F.contains(url, F.lit(k))
-    return url.rlike(rf"(?i)//(?:[\w.-]+\.)?(?:{_HOSTS})(?:[/:?]|$)|/wp-content/plugins/[\w-]*analytics") & ~kept
+    """A host that only measures, or a path of that kind on any host; hosts on the keep-list win."""
+    from .urls import netloc, path, unparseable
+
+    at, p = F.lower(netloc(url)), F.lower(path(url))
+    has = lambda c, words: F.coalesce(c.rlike(_any(tuple(words))), F.lit(False)) if words else F.lit(False)
+    return ~unparseable(url) & ~has(at, [k.lower() for k in keep if k]) & (has(at, TELEMETRY) | has(p, TELEMETRY_PATHS))
 
 
 def strip_telemetry(html: Column) -> Column:
-    """Without scripts, frames and pixels of measuring hosts, and inline scripts that start them."""
-    ref = rf"""[^>]*\b(?:src|href)=["'][^"']*(?:{_HOSTS})[^"']*["'][^>]*"""
+    """Without scripts, frames and pixels of measuring hosts or paths, and inline scripts that start them."""
+    ref = rf"""[^>]*\b(?:src|href)=["']{_URL}[^"']*["'][^>]*"""
     out = F.regexp_replace(html, rf"(?is)<(script|iframe|noscript)\b{ref}>.*?</\1>", "")
     out = F.regexp_replace(out, rf"(?is)<(?:img|link){ref}/?>", "")
-    return F.regexp_replace(out, r"(?is)<script\b[^>]*>(?:(?!</script>).)*(?:gtag\(|GoogleAnalyticsObject|_gaq\.push|fbq\()(?:(?!</script>).)*</script>", "")
+    inline = rf"(?s)<(?i:script)\b(?![^>]*\bsrc=)[^>]*>(?:(?!</script>).)*(?:{_any(TELEMETRY_CALLS)})(?:(?!</script>).)*</(?i:script)>"
+    return F.regexp_replace(out, inline, "")
 
 
 FORM = r"(?is)(<form\b.*?</form>)"

@@ -22,7 +22,21 @@ BUCKETS = {
     "/assets/fonts/": (".woff", ".woff2", ".ttf", ".otf", ".eot"),
     "/assets/css/external/": (".css",),
     "/assets/js/external/": (".js", ".mjs"),
-    "/assets/img/external/": (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".avif"),
+    "/assets/img/external/": (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".bmp"),
+}
+
+#: The suffix of a file whose URL has none, by its type; else a server would call it text.
+_SUBTYPES = {
+    ".css": ("text/css",),
+    ".js": ("text/javascript", "application/javascript"),
+    ".woff": ("font/woff", "application/font-woff"),
+    ".woff2": ("font/woff2", "application/font-woff2"),
+    ".ttf": ("font/ttf", "application/x-font-ttf", "application/x-font-truetype"),
+    ".otf": ("font/otf",),
+    ".eot": ("application/vnd.ms-fontobject",),
+    ".ico": ("image/x-icon", "image/vnd.microsoft.icon"),
+    ".svg": ("image/svg+xml",),
+    **{f".{k}": (f"image/{v}",) for k, v in (("jpg", "jpeg"), ("png", "png"), ("gif", "gif"), ("webp", "webp"))},
 }
 
 
@@ -249,9 +263,24 @@ def asset_bucket(name: Column) -> Column:
     return out
 
 
-def external_output_path(url: Column, content_hash: Column, disambiguate: Column) -> Column:
-    name = last_segment(path(url))
+def bare_type(content_type: Column) -> Column:
+    return F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+
+
+def type_suffix(content_type: Column) -> Column:
+    """The suffix that a content type asks for, empty for others."""
+    t, out = bare_type(content_type), F.lit("")
+    for ext, types in _SUBTYPES.items():
+        out = F.when(t.isin(*types), F.lit(ext)).otherwise(out)
+    return out
+
+
+def external_output_path(url: Column, content_hash: Column, disambiguate: Column, content_type: Column | None = None) -> Column:
+    """Where another host's file goes: by kind, else by host; a name without a suffix gets that of its content type."""
+    name = last_segment(F.regexp_replace(path(url), "/+$", ""))
     name = F.when(name == "", F.lit("index")).otherwise(name)
+    if content_type is not None:
+        name = F.when(suffix(name) == "", F.concat(name, type_suffix(content_type))).otherwise(name)
     name = F.when(disambiguate, F.concat(_stem(name), F.lit("-"), F.substring(content_hash, 1, 8), suffix(name))).otherwise(name)
     return F.concat(F.coalesce(asset_bucket(name), F.concat(F.lit("/assets/external/"), host(url), F.lit("/"))), name)
 
@@ -309,3 +338,40 @@ def duration_text(seconds: Column) -> Column:
     s = seconds.cast("bigint")
     h, m, x = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
     return F.when(h > 0, F.format_string("%dh%02dm%02ds", h, m, x)).when(m > 0, F.format_string("%dm%02ds", m, x)).otherwise(F.format_string("%ds", x))
+
+
+def unlikely_rewrite_target(url: Column) -> Column:
+    """As ``unlikely_real``, but pages that end in a slash count: a failed lookup costs nothing."""
+    return unparseable(url) | bare_asset_directory(url) | implausibly_long(url) | admin_infrastructure(url)
+
+
+def parsed_for_links(kind: Column, final_url: Column, profile: SiteProfile) -> Column:
+    """Whether a fetched resource is searched for links: HTML within the scope, CSS of any owned host."""
+    return F.coalesce(F.when(kind == "css", profile.owns(host(final_url))).when(kind.isNotNull(), in_scope(final_url, profile)), F.lit(False))
+
+
+def admitted(url: Column, kind: Column, context: Column, profile: SiteProfile) -> Column:
+    """The normalised URL of a reference that may become a capture, else NULL.
+
+    Hyperlinks stay within the scope; what renders may come from anywhere, but strings
+    found in scripts and framed documents only from owned hosts.
+    """
+    n = normalize_for(url, profile)
+    owned = profile.owns(host(n))
+    ok = ((kind != "hyperlink") | in_scope(n, profile)) & (owned | ~(F.startswith(context, F.lit("script:")) | (context == "iframe[src]")))
+    return F.when(ok, n)
+
+
+def comparable(url: Column) -> Column:
+    """A URL as home pages are compared: no slash at the end, lower case, no ``www.``."""
+    return F.regexp_replace(F.lower(F.regexp_replace(url, "/+$", "")), r"^([^:]*)://www\.", "$1://")
+
+
+def snapshot_query(url: Column, api: str = "https://web.archive.org/cdx/search/cdx") -> Column:
+    """The request for a URL's snapshots."""
+    return F.concat(F.lit(api + "?url="), F.replace(F.replace(F.url_encode(url), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")), F.lit("&output=json"))
+
+
+def snapshot_url(timestamp: Column, original: Column, base: str = "https://web.archive.org") -> Column:
+    """The address of a snapshot's bytes as they were."""
+    return F.concat(F.lit(base + "/web/"), timestamp, F.lit("id_/"), original)

@@ -72,19 +72,20 @@ def machine_context(context: Column) -> Column:
     return context.rlike(r"^[\w-]+\[|^script:|^style")
 
 
-def owner_tasks(missing: DataFrame, broken_links: DataFrame, excised_: DataFrame) -> DataFrame:
-    """(task_id, kind, target, n_pages, prefilled): one task a missing file, a broken link and a page with removed content.
+def owner_tasks(missing: DataFrame, broken_links: DataFrame, broken_refs: DataFrame) -> DataFrame:
+    """(task_id, kind, target, n_pages, prefilled): one task a missing file, a broken external link and a broken internal one.
 
-    ``missing``: target, page; ``broken_links``: url, page, kind; ``excised_``: page, category.
+    ``missing``: target, page; ``broken_links``: url, page, kind; ``broken_refs``: target, page.
     """
     from .reports import task_id
 
-    a = missing.groupBy("target").agg(F.countDistinct("page").alias("n_pages")).select(F.lit("missing").alias("kind"), "target", "n_pages", F.lit(None).cast("string").alias("prefilled"))
-    b = broken_links.groupBy("url").agg(F.countDistinct("page").alias("n_pages"), F.max(F.when(F.col("kind") == "auth", F.lit("keep"))).alias("prefilled")).select(F.lit("broken").alias("kind"), F.col("url").alias("target"), "n_pages", "prefilled")
-    c = excised_.groupBy("page").agg(F.countDistinct("category").alias("n")).select(F.lit("excised").alias("kind"), F.col("page").alias("target"), F.lit(1).cast("bigint").alias("n_pages"), F.lit(None).cast("string").alias("prefilled"))
-    every = a.unionByName(b).unionByName(c)
-    ids = F.when(F.col("kind") == "missing", task_id("missing", F.col("target"))).when(F.col("kind") == "broken", task_id("broken", F.col("target"))).otherwise(task_id("excised", F.col("target")))
-    return every.select(ids.alias("task_id"), "kind", "target", "n_pages", "prefilled")
+    def tasks(kind: str, rows: DataFrame, target: str, prefilled: Column) -> DataFrame:
+        g = rows.groupBy(F.col(target).alias("target")).agg(F.countDistinct("page").alias("n_pages"), prefilled.alias("prefilled"))
+        return g.select(task_id(kind, F.col("target")).alias("task_id"), F.lit(kind).alias("kind"), "target", "n_pages", "prefilled")
+
+    none = F.max(F.lit(None).cast("string"))
+    out = tasks("missing_file", missing, "target", none).unionByName(tasks("external_link", broken_links, "url", F.max(F.when(F.col("kind") == "auth", F.lit("keep")))))
+    return out.unionByName(tasks("internal_link", broken_refs, "target", none))
 
 
 def task_payload(tasks: DataFrame) -> Column:

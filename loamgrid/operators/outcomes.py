@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATTEMPTS, BACKOFF, LOCKOUT, COOLDOWN, LONGEST_COOLDOWN = 4, 1.0, 5, 60.0, 1800.0
+#: The first kind whose pattern an error's whole text holds; case counts, since these are names of exceptions.
 ERROR_KINDS = (
-    ("dns", r"(?i)name or service not known|getaddrinfo|name resolution|nodename nor servname"),
-    ("tls", r"(?i)ssl|certificate|tls"),
-    ("timeout", r"(?i)timed? ?out"),
-    ("refused", r"(?i)connection refused|actively refused"),
-    ("redirect_loop", r"(?i)too many redirects|exceeded \d+ redirects"),
+    ("dns", "|".join(("NameResolutionError", "getaddrinfo", "nodename nor servname", "Name or service not known", "Temporary failure in name resolution"))),
+    ("tls", "|".join(("SSLError", "SSLCertVerification", "certificate verify failed", "CERTIFICATE_VERIFY_FAILED", "UNSAFE_LEGACY", "WRONG_VERSION_NUMBER"))),
+    ("timeout", "|".join(("timed out", "TimeoutError", "ReadTimeout", "ConnectTimeout"))),
+    ("refused", "|".join(("ConnectionRefused", "Connection refused", "ConnectionResetError", "Connection aborted", "RemoteDisconnected", "ProtocolError"))),
+    ("redirect_loop", "TooManyRedirects|exceeded 30 redirects"),
 )
 
 
@@ -37,6 +38,22 @@ def error_kind(message: Column) -> Column:
     return F.when(message.isNotNull(), out)
 
 
+def failure_kind(error: Column, flag: Column) -> Column:
+    """Of a failed request: its error's kind, ``auth`` for a gated answer, else ``http``."""
+    return F.when(error.isNotNull(), error_kind(error)).when(flag == "auth_gated", F.lit("auth")).otherwise(F.lit("http"))
+
+
+def failure_text(error: Column, flag: Column, status: Column) -> Column:
+    """The failure for a technical reader: an error's first line, at most 120 characters of it, or the status and what it means."""
+    code = F.concat(F.lit("HTTP "), F.coalesce(status.cast("string"), F.lit("None")))
+    return (
+        F.when(error.isNotNull(), F.concat(F.lit("unreachable ("), F.substring(F.get(F.split(error, "\\r\\n|\\n|\\r"), F.lit(0)), 1, 120), F.lit(")")))
+        .when(flag == "auth_gated", F.concat(code, F.lit(" (auth-gated -- may not actually be broken)")))
+        .when(flag == "retry_exhausted", F.concat(code, F.lit(" (retries exhausted)")))
+        .otherwise(code)
+    )
+
+
 def plain_reason(kind: Column, status: Column) -> Column:
     """A failure in words: by kind, else by status, else by its range."""
     return (
@@ -45,12 +62,18 @@ def plain_reason(kind: Column, status: Column) -> Column:
         .when(kind == "timeout", F.lit("the site does not answer in time"))
         .when(kind == "refused", F.lit("the site refuses connections"))
         .when(kind == "redirect_loop", F.lit("the site redirects in a circle"))
-        .when(kind.isNotNull(), F.lit("the site cannot be reached"))
+        .when(kind == "auth", F.lit("the site asks for a login, so nobody could check"))
+        .when(kind == "unreachable", F.lit("the site cannot be reached"))
+        .when(status == 400, F.lit("the address is malformed"))
+        .when(status == 408, F.lit("the site does not answer in time"))
+        .when(status == 429, F.lit("the site asks to slow down"))
         .when(status == 404, F.lit("the page is gone"))
         .when(status == 410, F.lit("the page was removed"))
         .when(status.isin(401, 403), F.lit("access is denied"))
         .when(status.between(500, 599), F.lit("the site reports a fault"))
-        .otherwise(F.concat(F.lit("the site answers with status "), status.cast("string")))
+        .when(status.between(300, 399), F.lit("the address leads nowhere definite"))
+        .when(status.between(400, 499), F.concat(F.lit("the site turns the request away, code "), status.cast("string")))
+        .otherwise(F.lit("nobody could confirm the link"))
     )
 
 

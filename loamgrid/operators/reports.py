@@ -37,29 +37,50 @@ def archive_counts(urls: DataFrame, url: str) -> DataFrame:
     return urls.agg(*[F.count_if(h).alias(f"n_{n}") for (n, _), h in zip(ARCHIVES, hit)], F.count_if(any_).alias("n_any"), F.count("*").alias("n_urls"))
 
 
-def dry_run_rules(sources: DataFrame, archives: DataFrame) -> DataFrame:
-    """Rules that fired, worst first: (rule, verdict, detail).
-
-    ``sources``: (source, n) of inventory sources; ``archives``: a row of ``archive_counts``.
+def dry_run_findings(records: DataFrame, reachable: dict[str, bool], export_configured: bool) -> DataFrame:
+    """(rule, severity, detail) of what a look at the inventory alone finds.
+
+    ``records``: url, discovered_via (array) of inventory records; ``reachable``: whether
+    ``sitemap``, ``rest_api`` and ``xml_backup`` answered. A source that answered and
+    lists nothing is a concern, and so is an inventory of the base URL alone, which
+    leaves out the lesser notices. One source that lists under a tenth of the other's
+    count is a notice, and so are archives from 20 and from a tenth of the inventory on.
     """
-    total = F.sum("n").over(Window.partitionBy())
-    s = sources.withColumn("total", total)
-    one = s.agg(F.max("total").alias("total"), F.count("*").alias("n_sources"))
+    sitemap, rest = reachable.get("sitemap", False), reachable.get("rest_api", False)
+    has = lambda v: F.count_if(F.array_contains("discovered_via", v))
+    archive = F.lit(False)
+    for _, p in ARCHIVES:
+        archive = archive | F.col("url").rlike(p)
+    one = records.agg(F.count("*").alias("n"), has("sitemap").alias("sitemap"), has("rest_api").alias("rest_api"), F.countDistinct(F.when(archive, F.col("url"))).alias("archives"))
+    c, some = F.col, F.col("n") > 1
+
+    def rule(name: str, severity: str, when: Column, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail")))
+
+    low = F.when(c("sitemap") < c("rest_api"), F.lit("sitemap")).otherwise(F.lit("rest_api"))
+    both = F.lit(sitemap and rest) & (c("sitemap") > 0) & (c("rest_api") > 0)
     rules = [
-        one.where("coalesce(total, 0) <= 1").select(F.lit("nothing_discovered").alias("rule"), F.lit("attention").alias("verdict"), F.coalesce("total", F.lit(0)).cast("string").alias("detail")),
-        one.where("n_sources = 1").select(F.lit("single_live_source"), F.lit("review"), F.col("n_sources").cast("string")),
-        s.where("n = 0").select(F.lit("source_contributed_nothing"), F.lit("review"), F.col("source")),
-        s.where("n > 0 AND n < 0.10 * total").select(F.lit("source_underweight"), F.lit("review"), F.col("source")),
-        archives.where("n_any >= 20 AND n_any >= 0.10 * n_urls").select(F.lit("low_value_archives"), F.lit("review"), F.col("n_any").cast("string")),
+        rule("nothing_discovered", "concern", ~some, c("n")),
+        rule("no_inventory_source", "concern", F.lit(not any(reachable.values())), F.lit("none")),
+        rule("single_live_source", "notice", some & F.lit(sitemap != rest and not export_configured), F.lit("sitemap" if sitemap else "rest_api")),
+        *[rule("source_contributed_nothing", "concern", F.lit(bool(reachable.get(k))) & (c(k) == 0), F.lit(k)) for k in ("sitemap", "rest_api")],
+        rule("source_underweight", "notice", both & (F.least("sitemap", "rest_api") / F.greatest("sitemap", "rest_api") < 0.10), low),
+        rule("low_value_archives", "notice", some & (c("archives") >= 20) & (c("archives") / c("n") >= 0.10), c("archives")),
     ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.union(r)
-    return out
+    return one.select(F.inline(F.array_compact(F.array(*rules))))
+
+
+def dry_run_verdict(findings: DataFrame) -> DataFrame:
+    """One row: ``attention`` with a concern, ``review`` with a notice, else ``ready``."""
+    n = lambda x: F.count_if(F.col("severity") == x) > 0
+    return findings.agg(F.when(n("concern"), F.lit("attention")).when(n("notice"), F.lit("review")).otherwise(F.lit("ready")).alias("verdict"), F.count("*").alias("n_findings"))
+
+
+TASK_PREFIX = {"external_link": "ext", "internal_link": "int", "missing_file": "mis"}
 
 
 def task_id(kind: str, target: Column) -> Column:
-    return F.concat(F.lit(kind[:1]), F.lit("-"), F.substring(F.sha2(F.concat(F.lit(kind), F.lit("\x00"), target), 256), 1, 6))
+    return F.concat(F.lit(TASK_PREFIX[kind] + "-"), F.substring(F.sha2(F.concat(F.lit(kind), F.lit("\x00"), target), 256), 1, 6))
 
 
 def grouped_by_target(refs: DataFrame, target: str, page: str, context: str) -> DataFrame:

@@ -45,12 +45,13 @@ def nearest_snapshot(spark, sf_dir):
     return outcomes.nearest(wanted, shots, "user_id", "t", "snapshot")
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)ssl|certificate|tls') THEN 'tls' WHEN regexp_matches(text, '(?i)timed? ?out') THEN 'timeout' WHEN text IS NOT NULL THEN 'unreachable' END AS kind FROM conversations")
+@query(f"SELECT event_id, CASE WHEN event_type = 'view' THEN 'timeout' WHEN event_type = 'error' THEN 'refused' WHEN event_type = 'click' THEN 'tls' WHEN event_type = 'signup' THEN 'dns' ELSE 'unreachable' END AS kind FROM events")
 def error_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", outcomes.error_kind(F.col("text")).alias("kind"))
+    text = F.create_map(*[F.lit(x) for x in ("view", "ReadTimeout: 30 s", "error", "('Connection aborted.', RemoteDisconnected())", "click", "[SSL: CERTIFICATE_VERIFY_FAILED]", "signup", "Temporary failure in name resolution", "purchase", "no tls here")])
+    return _events(spark, sf_dir).select("event_id", outcomes.error_kind(F.coalesce(text[F.col("event_type")], F.lit("odd"))).alias("kind"))
 
 
-@query(f"SELECT event_id, CASE WHEN s = 404 THEN 'the page is gone' WHEN s = 403 THEN 'access is denied' WHEN s = 503 THEN 'the site reports a fault' ELSE 'the site answers with status ' || s END AS reason FROM (SELECT event_id, {_STATUS} AS s FROM events)")
+@query(f"SELECT event_id, CASE WHEN s = 404 THEN 'the page is gone' WHEN s = 403 THEN 'access is denied' WHEN s = 503 THEN 'the site reports a fault' WHEN s BETWEEN 300 AND 399 THEN 'the address leads nowhere definite' ELSE 'nobody could confirm the link' END AS reason FROM (SELECT event_id, {_STATUS} AS s FROM events)")
 def plain_reasons(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", outcomes.plain_reason(F.lit(None).cast("string"), F.col("status")).alias("reason"))
 

@@ -85,7 +85,7 @@ def output_path_collisions(spark, sf_dir):
     return captures.claim_paths(rows, "output_path", "page_id", "hash").select("page_id", "nth", "claim")
 
 
-@query(f"WITH {_P} SELECT page_id, coalesce(CASE WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.css') THEN '/assets/css/external/' WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.png', '.jpg', '.gif') THEN '/assets/img/external/' END, '/assets/external/' || h || '/') || name AS external_path FROM (SELECT *, coalesce(nullif(regexp_extract(p, '([^/]*)$', 1), ''), 'index') AS name FROM p0)")
+@query(f"WITH {_P} SELECT page_id, coalesce(CASE WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.css') THEN '/assets/css/external/' WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.png', '.jpg', '.jpeg', '.gif', '.svg', '.webp', '.ico', '.bmp') THEN '/assets/img/external/' END, '/assets/external/' || h || '/') || name AS external_path FROM (SELECT *, coalesce(nullif(regexp_extract(regexp_replace(p, '/+$', ''), '([^/]*)$', 1), ''), 'index') AS name FROM p0)")
 def external_output_path(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", urls.external_output_path(F.col("url"), F.lit(""), F.lit(False)).alias("external_path"))
 
@@ -101,11 +101,11 @@ def lookup_variants(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.posexplode(urls.lookup_variants(F.col("url"), _owned(F.col("url")))).alias("rank", "spelling"))
 
 
-@query(f"WITH {_VARIANTS}, lk AS (SELECT spelling, page_id AS found FROM (SELECT *, row_number() OVER (PARTITION BY spelling ORDER BY rank, url) AS k FROM variants WHERE page_id % 2 = 0) WHERE k = 1), m AS (SELECT v.page_id, v.rank, lk.found, row_number() OVER (PARTITION BY v.page_id ORDER BY v.rank) AS k FROM variants v JOIN lk USING (spelling)) SELECT p.page_id, m.rank AS tier, m.found FROM pages p LEFT JOIN (SELECT * FROM m WHERE k = 1) m USING (page_id)")
+@query(f"WITH {_VARIANTS}, lk AS (SELECT spelling, page_id AS found FROM (SELECT *, row_number() OVER (PARTITION BY spelling ORDER BY rank, url) AS k FROM variants) WHERE k = 1), m AS (SELECT v.page_id, v.rank, lk.found, row_number() OVER (PARTITION BY v.page_id ORDER BY v.rank) AS k FROM variants v JOIN lk USING (spelling)) SELECT p.page_id, m.rank AS tier, m.found FROM pages p LEFT JOIN (SELECT * FROM m WHERE k = 1) m USING (page_id)")
 def ref_resolution(spark, sf_dir):
-    """Pages with an even id are the captures, every page's URL is a reference."""
+    """Every page is a capture and its URL a reference."""
     pages = _pages(spark, sf_dir).select("page_id", "url", _owned(F.col("url")).alias("owned"))
-    lookup = resolve.build_lookup(pages.where("page_id % 2 = 0"), "url", "page_id")
+    lookup = resolve.build_lookup(pages, "url", "page_id")
     return resolve.resolve_references(pages.withColumnRenamed("url", "ref"), lookup, ["page_id"]).select("page_id", "tier", F.col("target").alias("found"))
 
 
@@ -200,7 +200,7 @@ def inline_css_redundancy(spark, sf_dir):
     return reports.redundant_blocks(b, "css", "page_id", least_bytes=100)
 
 
-@query(r"""SELECT page_id, regexp_matches(html, '(?i)<form[\s>]') AS contains_form, regexp_matches(html, '(?i)class="[^"]*\b(?:elementor|et_pb_|wp-block-|vc_row|fl-builder|gform_wrapper|wpcf7|ad)\b') AS plugin_markup, regexp_matches(html, '(?i)<body[^>]*class="(?:[^"]*\s)?attachment(?:\s[^"]*)?"') AS attachment_page FROM pages""")
+@query(r"""SELECT page_id, regexp_matches(html, '(?i)<form[\s>]') AS contains_form, regexp_matches(html, 'ngg-gallery|ngg_images|jetpack-slideshow|wpcf7|gform_wrapper|gform_\d+|rev_slider|n2-ss-slider|elementor-widget|wpforms-form') AS plugin_markup, regexp_matches(html, '(?i)<body[^>]*class="(?:[^"]*\s)?attachment(?:\s[^"]*)?"') AS attachment_page FROM pages""")
 def markup_flags(spark, sf_dir):
     h = F.col("html")
     return _pages(spark, sf_dir).select("page_id", html.has_form(h).alias("contains_form"), html.has_plugin_markup(h).alias("plugin_markup"), html.attachment_body(h).alias("attachment_page"))
@@ -212,9 +212,9 @@ def normalise_counts(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", n(r"(?i)<o:\w+").alias("n_office"), n(r"(?i)<(?:a|img|object)\s[^>]*\bborder=").alias("n_border"), n("&amp;").alias("n_entities"), n(r"(?i)<p[\s>]").alias("n_paragraphs"))
 
 
-@query("""SELECT page_id, 'b-' || sha256('broken' || chr(0) || url)[1:6] AS task_id FROM pages""")
+@query("""SELECT page_id, 'ext-' || sha256('external_link' || chr(0) || url)[1:6] AS task_id FROM pages""")
 def owner_task_ids(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", reports.task_id("broken", F.col("url")).alias("task_id"))
+    return _pages(spark, sf_dir).select("page_id", reports.task_id("external_link", F.col("url")).alias("task_id"))
 
 
 @query(f"WITH {_A}, a AS (SELECT DISTINCT href FROM links WHERE page_id % 2 = 0), b AS (SELECT DISTINCT href FROM links WHERE page_id % 2 = 1) SELECT href, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT href, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -241,7 +241,7 @@ def html_elements(spark, sf_dir):
     return refs.where("context = 'a[href]'").select("page_id", "value", "text")
 
 
-@query()
+@query(f"WITH {_A} SELECT page_id, pos, 'hyperlink' AS kind, 'a[href]' AS context, href AS value, CASE WHEN starts_with(href, '/') THEN {_part('url', 1)} || '://' || {_part('url', 2)} || href ELSE href END AS url, text FROM links")
 def html_references(spark, sf_dir):
     """All references of all kinds, by the tolerant parser."""
     return html.extract_references(_pages(spark, sf_dir).select("page_id", "url", "html"))
@@ -260,15 +260,20 @@ def site_slugs(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.regexp_replace(urls.host(u), r"^www\.", "").alias("bare"), urls.slug(u).alias("slug"))
 
 
-@query(f"WITH {_A}, t AS (SELECT page_id, href AS target FROM links) SELECT 'm-' || sha256('missing' || chr(0) || target)[1:6] AS task_id, 'missing' AS kind, target, count(DISTINCT page_id) AS n_pages FROM t GROUP BY target UNION ALL SELECT 'e-' || sha256('excised' || chr(0) || url)[1:6], 'excised', url, 1 FROM pages WHERE contains(html, 'class=\"ad\"')")
+def _task_sql(kind: str, prefix: str, target: str) -> str:
+    return f"'{prefix}-' || sha256('{kind}' || chr(0) || {target})[1:6] AS task_id, '{kind}' AS kind, {target} AS target"
+
+
+@query(f"WITH {_A} SELECT {_task_sql('internal_link', 'int', 'href')}, count(DISTINCT page_id) AS n_pages FROM links WHERE starts_with(href, '/') GROUP BY href UNION ALL SELECT {_task_sql('external_link', 'ext', 'href')}, count(DISTINCT page_id) FROM links WHERE NOT starts_with(href, '/') GROUP BY href UNION ALL SELECT {_task_sql('missing_file', 'mis', 'url')}, count(DISTINCT page_id) FROM pages GROUP BY url")
 def owner_tasks(spark, sf_dir):
-    """Links without a page are missing files; pages with an advertisement have content removed."""
+    """Root-relative links count as broken internal ones, others as broken external ones, pages as missing files."""
     from ..operators import checklist
 
-    missing = _links(spark, sf_dir).select(F.col("href").alias("target"), F.col("page_id").alias("page"))
-    none = missing.limit(0).select(F.col("target").alias("url"), "page", F.lit("").alias("kind"))
-    cut = _pages(spark, sf_dir).where(F.contains("html", F.lit('class="ad"'))).select(F.col("url").alias("page"), F.lit("other").alias("category"))
-    return checklist.owner_tasks(missing, none, cut).select("task_id", "kind", "target", "n_pages")
+    links = _links(spark, sf_dir).select(F.col("href").alias("target"), F.col("page_id").alias("page"))
+    own = F.startswith("target", F.lit("/"))
+    broken = links.where(~own).select(F.col("target").alias("url"), "page", F.lit("http").alias("kind"))
+    missing = _pages(spark, sf_dir).select(F.col("url").alias("target"), F.col("page_id").alias("page"))
+    return checklist.owner_tasks(missing, broken, links.where(own)).select("task_id", "kind", "target", "n_pages")
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(html, '(?i)</?o:\w+[^>]*>', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS html FROM pages""")
@@ -320,11 +325,11 @@ def integrity_findings(spark, sf_dir):
     return checklist.integrity(c, files).join(p.select("url", "page_id"), "url").select("page_id", "problem")
 
 
-@query("SELECT b.text AS message, count(*) AS n, count(DISTINCT conv_id) AS n_pages FROM (SELECT conv_id, text[1:12] AS text FROM conversations WHERE role = 'user') b GROUP BY 1")
+@query("SELECT b.text AS message, count(*) AS n, count(DISTINCT conv_id) AS n_pages FROM (SELECT conv_id, text FROM conversations WHERE role = 'user') b GROUP BY 1")
 def validation_issues(spark, sf_dir):
     from ..operators import checklist
 
-    m = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", F.lit("error")).otherwise(F.lit("info")).alias("type"), F.substring("text", 1, 12).alias("message"), F.col("conv_id").alias("url"), F.col("text").alias("extract"))
+    m = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", F.lit("error")).otherwise(F.lit("info")).alias("type"), F.col("text").alias("message"), F.col("conv_id").alias("url"), F.col("text").alias("extract"))
     return checklist.markup_quirks(m).select("message", "n", "n_pages")
 
 

@@ -71,8 +71,8 @@ def snapshots(cdx: Column) -> Column:
 
 
 def log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(level, message) of ``<date> <time> LEVEL <logger>: <message>`` lines; others are left out."""
-    p = r"^\S+ \S+ (DEBUG|INFO|WARNING|ERROR|CRITICAL) \S+: (.*)$"
+    """(level, message) of ``<date> <time> LEVEL <message>`` lines from WARNING on; others are left out."""
+    p = r"^\S+ \S+ (CRITICAL|ERROR|WARNING) (.*)$"
     return lines.where(F.col(value).rlike(p)).select(F.regexp_extract(value, p, 1).alias("level"), F.regexp_extract(value, p, 2).alias("message"))
 
 
@@ -97,18 +97,21 @@ def _wxr_rows(text: str) -> Iterator[tuple]:
 
 
 def read_wxr(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Authors, categories and items of RSS-XML exports: (kind, name, id, link, post_type, status, terms). Broken XML raises."""
+    """Authors, categories and items of RSS-XML exports: (kind, name, id, link, post_type, status, terms, pos). A broken document is one row of kind ``error``; the others are read."""
     clean, _ = strip_invalid_xml(F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc in batch.column(0).to_pylist():
-                rows = list(_wxr_rows(doc)) if doc else []
+                try:
+                    rows = [(*r, i) for i, r in enumerate(_wxr_rows(doc))] if doc else []
+                except ET.ParseError as e:
+                    rows = [("error", str(e), None, None, None, None, [], 0)]
                 if rows:
                     cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:6]], pa.array(cols[6], pa.list_(pa.list_(pa.string())))], names=["kind", "name", "id", "link", "post_type", "status", "terms"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:6]], pa.array(cols[6], pa.list_(pa.list_(pa.string()))), pa.array(cols[7], pa.int64())], names=["kind", "name", "id", "link", "post_type", "status", "terms", "pos"])
 
-    return documents.select(clean.alias("text")).mapInArrow(run, "kind string, name string, id string, link string, post_type string, status string, terms array<array<string>>")
+    return documents.select(clean.alias("text")).mapInArrow(run, "kind string, name string, id string, link string, post_type string, status string, terms array<array<string>>, pos long")
 
 
 def wxr_urls(wxr: DataFrame, base: str) -> DataFrame:
@@ -120,7 +123,7 @@ def wxr_urls(wxr: DataFrame, base: str) -> DataFrame:
     base = base.rstrip("/")
     kept = wxr.where("kind = 'item' AND ((post_type IN ('post', 'page') AND status = 'publish') OR (post_type = 'attachment' AND status = 'inherit'))")
     posts = kept.where("link <> ''").select(F.col("link").alias("url"))
-    ids = lambda kind: wxr.where(F.col("kind") == kind).groupBy("name").agg(F.max(F.col("id").cast("bigint")).alias("id"))
+    ids = lambda kind: wxr.where(F.col("kind") == kind).groupBy("name").agg(F.max_by(F.col("id").cast("bigint"), "pos").alias("id"))
     used = kept.select(F.explode("terms").alias("t")).select(F.get("t", F.lit(0)).alias("domain"), F.get("t", F.lit(1)).alias("name")).where("domain = 'category'").distinct()
     terms = used.join(ids("category"), "name").select(F.concat(F.lit(base + "/?cat="), F.col("id").cast("string")).alias("url"))
     authors = kept.select("name").distinct().join(ids("author"), "name").select(F.concat(F.lit(base + "/?author="), F.col("id").cast("string")).alias("url"))

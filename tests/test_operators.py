@@ -90,10 +90,39 @@ def test_echo_and_thin(spark):
     assert content.echo_source_counts(d, "doc_id", "text").where("doc_id = 1").first()["source"] == 2
 
 
+def test_echo_of_many_copies(spark):
+    """Copies and ties: the same sources as by comparing all documents."""
+    import random
+
+    rng = random.Random(2)
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    docs = [(i, base[rng.randrange(3)] if rng.random() < 0.5 else " ".join(rng.sample(base, 2)) + f" tail{rng.randrange(4)}") for i in range(60)]
+    runs = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in docs for w in [t.split()]}
+    want = []
+    for i, s in runs.items():
+        n = sum(any(x in runs[j] for j in runs if j != i) for x in s)
+        if n >= 0.5 * len(s):
+            found = sorted((-len(s & runs[j]), j) for j in runs if j != i and s & runs[j])[:3]
+            want += [(i, j, -m, r) for r, (m, j) in enumerate(found, 1)]
+    got = content.echo_source_counts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "doc_id", "text")
+    assert rows(got, "doc_id", "source", "shared", "rank") == sorted(want)
+
+
+def test_report_files(spark, tmp_path):
+    from loamgrid.operators import sinks
+
+    d = spark.createDataFrame([("a|b", 2), (None, 1)], "url string, n long")
+    sinks.write_report({"links": d, "none": d.limit(0)}, str(tmp_path))
+    assert rows(sinks.read_report(spark, str(tmp_path), "links", "url string, n long"), "n", "url") == rows(d, "n", "url")
+    assert sinks.read_report(spark, str(tmp_path), "none", "url string").count() == 0
+    sinks.write_lines(sinks.as_lines(d, "Links", "url", "n"), str(tmp_path / "md"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "md")).collect()] == ["# Links", "", "| url | n |", "| --- | --- |", "|  | 1 |", "| a\\|b | 2 |"]
+
+
 def test_references():
     page = '<a href="/a">x <b>y</b></a><img src="i.png" srcset="j.png 1x, k.png 2x"><style>p{background:url(b.png)}</style><script>var u="https:\\/\\/o.org\\/s.js";</script><link rel="canonical" href="/c"><a href="mailto:x">m</a>'
     got = [(r[0], r[3], r[4]) for r in html.references(page, "https://e.com/d/")]
-    assert got == [("hyperlink", "https://e.com/a", "x y"), ("render", "https://e.com/d/i.png", ""), ("render", "https://e.com/d/j.png", ""), ("render", "https://e.com/d/k.png", ""), ("render", "https://e.com/d/b.png", ""), ("render", "https://o.org/s.js", ""), ("canonical", "https://e.com/c", "")]
+    assert got == [("hyperlink", "https://e.com/a", "x y"), ("render", "https://e.com/d/i.png", ""), ("render", "https://e.com/d/j.png", ""), ("render", "https://e.com/d/k.png", ""), ("render", "https://e.com/d/b.png", ""), ("render", "https://o.org/s.js", ""), ("render", "https://o.org/s.js", ""), ("hyperlink", "https://e.com/c", "")]
     assert html.references(None, None) == []
 
 
@@ -101,7 +130,7 @@ def test_bundles():
     packed = b64encode(zlib.compress(b"/a.css,/b.css")).decode().rstrip("=")
     assert html.bundle_components("https://s.org/_static/??/a.css,/b.css?m=1") == ["https://s.org/a.css", "https://s.org/b.css?m=1"]
     assert html.bundle_components(f"https://s.org/_static/??-{packed}") == ["https://s.org/a.css", "https://s.org/b.css"]
-    assert html.bundle_components("https://s.org/x.css") == [] and html.bundle_components("https://s.org/_static/??-!!") == []
+    assert html.bundle_components("https://s.org/x.css") is None and html.bundle_components("https://s.org/_static/??-!!") is None
 
 
 def test_sources(spark):
@@ -126,10 +155,10 @@ def test_wxr(spark):
 
 
 def test_reports(spark):
-    s = spark.createDataFrame([("sitemap", 100), ("rest", 0), ("xml", 5)], "source string, n long")
-    a = reports.archive_counts(spark.createDataFrame([(f"https://e/tag/{i}",) for i in range(30)], "url string"), "url")
-    assert rows(reports.dry_run_rules(s, a), "rule") == [("low_value_archives",), ("source_contributed_nothing",), ("source_underweight",)]
-    assert rows(reports.dry_run_rules(s.limit(0), a), "rule") == [("low_value_archives",), ("nothing_discovered",)]
+    d = spark.createDataFrame([(f"https://e/tag/{i}", ["sitemap"]) for i in range(30)], "url string, discovered_via array<string>")
+    seen = {"sitemap": True, "rest_api": True, "xml_backup": False}
+    assert rows(reports.dry_run_findings(d, seen, False), "rule") == [("low_value_archives",), ("source_contributed_nothing",)]
+    assert rows(reports.dry_run_findings(d.limit(0), {"sitemap": True}, False), "rule") == [("nothing_discovered",), ("source_contributed_nothing",)]
     b = spark.createDataFrame([("p1", "x" * 60), ("p2", "x" * 60), ("p3", "y")], "page string, css string")
     assert reports.redundant_blocks(b, "css", "page", least_bytes=60).select("wasted").collect()[0][0] == 60
     assert spark.range(1).select(reports.form_category(F.lit('<form id="commentform" role="search">'))).first()[0] == "comment"

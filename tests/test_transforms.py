@@ -8,7 +8,7 @@ MAP = {"/a": "a.html", "https://e.com/x.js": "js/x.js", "i.png": "img/i.png", "b
 
 def test_html_in_place():
     page = """<!-- <a href="/a"> --><A HREF='/a#top' class=x>t</A><img srcset="i.png 1x, b.png 2x" alt="/a"><p style="background:url('b.png')"><style>p{background:url(b.png)}</style><script>var u="https:\\/\\/e.com\\/x.js", v="/a";</script><script type="application/json">{"k": ["/a", "x /a"]}</script><a href="/p?q=1&amp;r=2">"""
-    want = """<!-- <a href="/a"> --><A HREF='a.html#top' class=x>t</A><img srcset="img/i.png 1x, img/b.png 2x" alt="/a"><p style="background:url('img/b.png')"><style>p{background:url(img/b.png)}</style><script>var u="js\\/x.js", v="a.html";</script><script type="application/json">{"k": ["a.html", "x /a"]}</script><a href="p.html">"""
+    want = """<!-- <a href="/a"> --><A HREF='a.html#top' class=x>t</A><img srcset="img/i.png 1x, img/b.png 2x" alt="/a"><p style="background:url('img/b.png')"><style>p{background:url(img/b.png)}</style><script>var u="js\\/x.js", v="/a";</script><script type="application/json">{"k": ["a.html", "x /a"]}</script><a href="p.html">"""
     assert rewrite.rewrite_html(page, MAP) == want
     assert rewrite.rewrite_html(page, lambda x: None) == page
 
@@ -45,6 +45,7 @@ def test_checklist(spark):
     assert [tuple(r) for r in t.collect()] == [("q", 1, False), ("p", 3, True)]
     b = spark.createDataFrame([("u", "p", "auth"), ("u", "q", "auth")], "url string, page string, kind string")
     m = spark.createDataFrame([("f", "p")], "target string, page string")
-    got = checklist.owner_tasks(m, b, rem)
-    assert {(r["kind"], r["target"], r["n_pages"], r["prefilled"]) for r in got.collect()} == {("missing", "f", 1, None), ("broken", "u", 2, "keep"), ("excised", "p", 1, None), ("excised", "q", 1, None)}
+    got = checklist.owner_tasks(m, b, m.withColumn("target", F.lit("/x")))
+    assert {(r["kind"], r["target"], r["n_pages"], r["prefilled"]) for r in got.collect()} == {("missing_file", "f", 1, None), ("external_link", "u", 2, "keep"), ("internal_link", "/x", 1, None)}
+    assert {r["task_id"][:4] for r in got.collect()} == {"mis-", "ext-", "int-"}
     assert "</" not in got.select(checklist.task_payload(got)).first()[0]
