@@ -30,7 +30,7 @@ WIDTH = 5
 LEAST = 0.8
 RADIUS = 17
 BLOCKS = 6
-#: Benchmark shingles up to which the table of them is broadcast (16 bytes each).
+#: Rows up to which the benchmark's shingles, or the keys of documents, are broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -104,6 +104,11 @@ def _of_documents(rows: DataFrame, whole: DataFrame) -> DataFrame:
     return rows.join(w, rows["d"].eqNullSafe(w["__d"]) & (rows["u"] == w["__u"])).drop("__d", "__u")
 
 
+def _if_few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, for a broadcast if it has ``BROADCAST_ROWS`` rows at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def near_items(windows: DataFrame, items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Every (window, item, distance) of one length within ``radius`` bits, found by their blocks.
 
@@ -153,7 +158,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
     windows = met.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "n", size.alias("size"), F.least("at", F.col("len") - size).alias("start")).distinct()
 
     # fingerprints of the windows, from the few documents that have one
-    mine = hits.select(F.col("doc_id").alias("d"), F.col("t").alias("u")).distinct()
+    mine = _if_few(written(hits.select(F.col("doc_id").alias("d"), F.col("t").alias("u")).distinct(), f"{uri}/mine"))
     text = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
     text = text.join(mine, text["doc_id"].eqNullSafe(mine["d"]) & (text["t"] == mine["u"]), "left_semi").groupBy("doc_id", "t").agg(F.any_value("text").alias("text"))
     whole = written(_hashed(text, ["doc_id", "t"], "all", width).select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "all"), f"{uri}/whole")
@@ -171,7 +176,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, lea
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, in whose text no item is found."""
-    bad = find_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__bad")).distinct()
+    uri = scratch(docs.sparkSession, "leaked")
+    bad = _if_few(written(find_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__bad")).distinct(), f"{uri}/bad"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
 
 
