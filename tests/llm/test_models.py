@@ -1,10 +1,13 @@
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 from hashlib import sha256
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +113,39 @@ def test_repeated_texts_stand_out(spark):
     assert min(twice) > max(once) and all(got[i] <= max(once) for i in range(1, 40, 2))
 
 
+def test_a_shard_visits_each_file_a_few_times():
+    """Shards and files both grow with the corpus, so what a shard does with a file must not be repeated for every word of a context."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(1, 1 << 60, 60).astype(np.uint64)
+    found, visits = {}, Counter()
+    for number in range(100):
+        own = rng.integers(1, 1 << 60, 1).astype(np.uint64)
+        hashes, words = np.unique(np.concatenate([common, own, common[:40], own + np.uint64(1)]), return_inverse=True)
+        found[number] = SimpleNamespace(words=words.astype(np.uint32), hashes=hashes, starts=np.zeros(1, np.int64), weight=np.ones(1, np.uint32))
+
+    def files(i):
+        visits[i] += 1
+        return found[i]
+
+    at = np.arange(2, 102)
+    rows = [(0, 0, i, len(at), 0, lm._pack(np.diff(at, prepend=0).astype("<u4"))) for i in found]
+    got = [x for x in lm._search(rows, files) if x[0] == 2]
+    assert len(got) == 100 and max(visits.values()) <= 12
+    assert {lm._unpack(x[5], x[3] + 4 * x[4], "u1")[50] for x in got} == {lm.CLASSES * 4 + 1}  # all others go on alike
+
+
+def test_many_files_stay_mapped(tmp_path):
+    """More than 32 files were mapped again by every shard."""
+    for i in range(40):
+        for k, t in (("words", "<u4"), ("hashes", "<u8"), ("starts", "<i8"), ("weight", "<u4"), ("rows", "<i4")):
+            np.arange(i, i + 3).astype(t).tofile(tmp_path / f"{i}.{k}")
+    before = len(os.listdir("/proc/self/fd"))
+    first = [lm._file(str(tmp_path), i) for i in range(40)]
+    assert all(lm._file(str(tmp_path), i) is f and f.words.tolist() == f.rows.tolist() == [i, i + 1, i + 2] for i, f in enumerate(first))
+    assert len(os.listdir("/proc/self/fd")) == before
+    lm._files.clear()
+
+
 def test_a_word_repeated_many_times(spark):
     rows = [(1, "go " * 50_000, True), (2, "go " * 30_000 + "stop", True), (3, "go " * 40_000, False), (4, "stop here", True)]
     got = {r["doc_id"]: r for r in lm.score_unbounded(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
