@@ -50,10 +50,11 @@ def shingle_hashes(raw: bytes, width: int = 3) -> list[int]:
 
 def fingerprint(raw: bytes | None, width: int = 3) -> int:
     """A bit is 1 if it is set in over half the shingle hashes; no word: zero. Signed 64 bits."""
-    hashes = shingle_hashes(raw or b"", width)
-    if not hashes:
-        return 0
-    a = np.array(hashes, np.uint64)
+    return majority(np.array(shingle_hashes(raw or b"", width), np.uint64))
+
+
+def majority(a: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, signed; of none zero."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(a), _RUN):
         ones += np.unpackbits(a[i : i + _RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

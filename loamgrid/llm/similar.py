@@ -1,7 +1,10 @@
-"""Near-duplicates by exact similarity of word shingles.
+"""Near-duplicates: SimHash pigeonring first, exact similarity of word shingles throughout.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of ``WIDTH``-word
-shingles is ``LEAST`` or more. Pairs are found by prefix filtering, which misses none:
+shingles is ``LEAST`` or more. Sets whose SimHash fingerprints lie within two bits are found
+by op5's pigeonring search and compared exactly; what is similar among them forms first
+groups. Similar sets may differ in more bits than any search of fingerprints can promise,
+so prefix filtering looks for links between the groups, which misses none:
 with the shingles of every set in one order, similar sets share one of the first
 n - ceil(LEAST * n) + 1. The order is that of the hashes with shingles that are frequent
 in a sample last, so few sets meet in a bucket; it has no influence on the result. What
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, open_fs, scratch, slices, take_turn, written
-from .simhash_dedup import components
-from .suffix_lm import mix, word_hashes
+from .simhash_dedup import components, hamming_links, majority
+from .suffix_lm import MAPPED_FILES, _mapped, mix, word_hashes
 
 WIDTH = 5
 LEAST = (4, 5)
@@ -61,25 +64,63 @@ def _longs(uri: str, *names: str) -> list[np.ndarray]:
     return [table[c].to_numpy() for c in names]
 
 
-def _pairs(h: np.ndarray, sig: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of sets that share a shingle and may be similar by length and position, as rows (a, b), a < b."""
+def _pairs(h: np.ndarray, sig: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of sets of different groups that share a shingle and may be similar by length and position, as rows (a, b), a < b.
+
+    Without ``group`` each set is one. The largest group of a bucket is not paired within
+    itself, so the work follows what has to be compared.
+    """
     p, q = LEAST
+    group = sig if group is None else group
     order = np.lexsort((sig, n, h))
-    h, sig, n, at = h[order], sig[order], n[order], at[order]
+    h, sig, n, at, group = h[order], sig[order], n[order], at[order], group[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
-    h, sig, n, at = h[first], sig[first], n[first], at[first]
-    i, step = np.arange(len(h)), 1
-    while len(i):
-        i = i[i + step < len(h)]
-        j = i + step
-        near = (h[i] == h[j]) & (q * n[i] >= p * n[j])
-        i, j = i[near], j[near]
-        ok = similar(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j])
-        if ok.any():
-            both = np.column_stack([sig[i[ok]], sig[j[ok]]])
-            yield np.sort(both, axis=1)
+    h, sig, n, at, group = h[first], sig[first], n[first], at[first], group[first]
+    bucket = np.cumsum(np.append(True, h[1:] != h[:-1])[: len(h)]) - 1
+    main = _largest(bucket, group)
+
+    def met(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = (group[i] != group[j]) & similar(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j])
+        return np.sort(np.column_stack([sig[i[ok]], sig[j[ok]]]), axis=1)
+
+    rest, step = np.flatnonzero(~main), 1
+    k = np.arange(len(rest))
+    while len(k):
+        k = k[k + step < len(rest)]
+        i, j = rest[k], rest[k + step]
+        near = (bucket[i] == bucket[j]) & (q * n[i] >= p * n[j])
+        k = k[near]
+        if len(both := met(i[near], j[near])):
+            yield both
         step += 1
+    there = np.flatnonzero(main)
+    place = (bucket[there] << 32) + n[there]
+    low = np.searchsorted(place, (bucket[rest] << 32) + -(-p * n[rest] // q), "left")
+    size = np.searchsorted(place, (bucket[rest] << 32) + q * n[rest] // p, "right") - low
+    rest, low, size = rest[size > 0], low[size > 0], size[size > 0]
+    run, a = np.cumsum(size), 0
+    while a < len(rest):
+        b = max(a + 1, int(np.searchsorted(run, (run[a - 1] if a else 0) + _CHUNK, "right")))
+        i, each = np.repeat(rest[a:b], size[a:b]), np.repeat(low[a:b] - (run[a:b] - size[a:b]), size[a:b])
+        if len(both := met(i, there[each + np.arange(run[a] - size[a], run[b - 1])])):
+            yield both
+        a = b
+
+
+def _largest(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether each row, ordered by bucket, is of its bucket's largest group, where that has two rows or more."""
+    order = np.lexsort((group, bucket))
+    b, g = bucket[order], group[order]
+    start = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (g[1:] != g[:-1]))[: len(b)])
+    size = np.diff(np.append(start, len(b)))
+    ranked = np.lexsort((size, b[start]))
+    last = ranked[np.append(b[start][ranked][1:] != b[start][ranked][:-1], True)[: len(ranked)]]
+    chosen = np.zeros(len(start), bool)
+    chosen[last] = size[last] > 1
+    out = np.empty(len(b), bool)
+    out[order] = np.repeat(chosen, size)
+    return out
 
 
 def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
@@ -109,31 +150,48 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
         p, q = LEAST
         for batch in batches:
             for b in slices(batch):
-                sig, size, head = [], [], []
+                sig, size, head, fp = [], [], [], []
                 for raw in as_bytes(b.column("text")):
                     s = shingle_set(raw)
                     n = len(s)
                     sig.append(int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]))
                     size.append(n)
+                    fp.append(majority(s))
                     if n and len(late):
                         there = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         s = np.concatenate([s[~there], s[there]])
                     head.append(s[: n - -(-p * n // q) + 1].view(np.int64))
                 ends = np.cumsum([0, *map(len, head)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(head)))
-                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("id"), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), lists], names=["k", "id", "sig", "n", "head"])
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("id"), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), lists], names=["k", "id", "sig", "n", "fp", "head"])
+
+    marks = written(rows.mapInArrow(sign, f"k long, id {kind}, sig long, n int, fp long, head array<long>"), f"{uri}/marks")
+    classes = written(marks.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("rep"), F.first("fp").alias("fp")), f"{uri}/sets")
 
-    marks = written(rows.mapInArrow(sign, f"k long, id {kind}, sig long, n int, head array<long>"), f"{uri}/marks")
-    classes = written(marks.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("rep")), f"{uri}/sets")
+    # the pigeonring's pairs: sets of one fingerprint with the least of them, and the least ones of linked fingerprints
+    least = written(classes.groupBy("fp").agg(F.min("sig").alias("least")), f"{uri}/fingerprints")
+    ends = hamming_links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = classes.join(least, "fp").where("sig <> least").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    ring = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same).distinct(), f"{uri}/ring-pairs")
+    near = similar_pairs(rows, classes, ring, f"{uri}/ring")
+    groups = written(components(near, f"{uri}/ring-roots"), f"{uri}/groups")
+    grouped = groups.count() <= FEW_SETS
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        h, sig, n, at = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("h", "sig", "n", "at"))
+        h, sig, n, at, *more = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in got[0].schema.names)
         del got
+        group = more[0] if more else sig
+        if grouped:
+            node, root = _longs(f"{uri}/groups", "node", "root")
+            if len(node):
+                order = np.argsort(node)
+                place = order[np.minimum(np.searchsorted(node[order], sig), len(node) - 1)]
+                group = np.where(node[place] == sig, root[place], sig)
         held, size = [], 0
-        for both in chain(_pairs(h, sig, n.astype(np.int64), at.astype(np.int64)), [None]):
+        for both in chain(_pairs(h, sig, n.astype(np.int64), at.astype(np.int64), group), [None]):
             if both is not None:
                 held.append(both)
                 size += len(both)
@@ -142,8 +200,14 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
                 held, size = [], 0
 
-    heads = marks.select("sig", "n", F.posexplode("head").alias("at", "h")).repartition(tasks, "h")
+    known = marks if grouped else marks.join(groups, marks["sig"] == groups["node"], "left")
+    heads = known.select(F.posexplode("head").alias("at", "h"), "sig", "n", *([] if grouped else [F.coalesce("root", "sig").alias("group")])).select("h", "sig", "n", "at", *([] if grouped else ["group"])).repartition(tasks, "h")
     pairs = written(heads.mapInArrow(meet, "a long, b long").distinct(), f"{uri}/pairs")
+    return classes, near.union(similar_pairs(rows, classes, pairs, f"{uri}/rest"))
+
+
+def similar_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, uri: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar, compared shingle by shingle."""
     nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = written(classes.join(nodes, "sig").select("sig", F.col("rep.k").alias("k")), f"{uri}/wanted")
     few = wanted.count() <= FEW_SETS
@@ -183,15 +247,18 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
-        opened: OrderedDict[int, pa.NativeFile] = OrderedDict()
+        local = fs.type_name == "local"
+        opened: OrderedDict = OrderedDict()
 
         def members(file: int, start: int, n: int) -> np.ndarray:
+            if not n:
+                return np.zeros(0, np.uint64)
             if file not in opened:
-                opened[file] = fs.open_input_file(f"{path}/{file}")
-                if len(opened) > _OPEN:
-                    opened.popitem(last=False)[1].close()
+                opened[file] = np.frombuffer(_mapped(f"{path}/{file}"), np.uint64) if local else fs.open_input_file(f"{path}/{file}")
+                if len(opened) > (MAPPED_FILES if local else _OPEN):
+                    opened.popitem(last=False)
             opened.move_to_end(file)
-            return np.frombuffer(opened[file].read_at(8 * n, 8 * start), np.uint64)
+            return opened[file][start : start + n] if local else np.frombuffer(opened[file].read_at(8 * n, 8 * start), np.uint64)
 
         last, x = None, None
         for batch in batches:
@@ -204,7 +271,7 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
 
     where = lambda end, k: sets.select(F.col("sig").alias(end), F.col("file").alias(k + "f"), F.col("start").alias(k + "s"), F.col("n").alias(k + "n"))
     both = pairs.join(where("b", "y"), "b").join(where("a", "x"), "a").select("a", "b", "xf", "xs", "xn", "yf", "ys", "yn").sortWithinPartitions("a")
-    return classes, written(both.mapInArrow(compare, "a long, b long"), f"{uri}/links")
+    return written(both.mapInArrow(compare, "a long, b long"), f"{uri}/links")
 
 
 def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

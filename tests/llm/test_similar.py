@@ -60,3 +60,14 @@ def test_stage_on_a_table(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     want = naive_kept([(r["doc_id"], r["text"]) for r in d.collect()])
     assert {r["doc_id"] for r in cp.deduplicated(spark, d, small).collect()} == want
+
+
+def test_stage_searches_fingerprints_by_pigeonring_first(spark, monkeypatch):
+    """Pairs within two bits come from op5's search, and are compared exactly like all others."""
+    w = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "z"])), (3, " ".join(w[:300])), (4, "a b"), (5, "a  b"), (6, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, search = [], sm.hamming_links
+    monkeypatch.setattr(sm, "hamming_links", lambda fps, *a: seen.append({r[0] for r in fps.collect()}) or search(fps, *a))
+    assert {r[0] for r in cp.deduplicated(spark, d, "").collect()} == naive_kept(rows)
+    assert seen == [{sm.majority(sm.shingle_set((t or "").encode())) for _, t in rows}]
