@@ -7,8 +7,13 @@ groups. Similar sets may differ in more bits than any search of fingerprints can
 so prefix filtering looks for links between the groups, which misses none:
 with the shingles of every set in one order, similar sets share one of the first
 n - ceil(LEAST * n) + 1. The order is that of the hashes with shingles that are frequent
-in a sample last, so few sets meet in a bucket; it has no influence on the result. What
-lengths and positions leave open is compared shingle by shingle.
+in a sample last, by their counts, so few sets meet in a bucket; it has no influence on the
+result. What lengths and positions leave open is compared shingle by shingle.
+
+A large group of near-copies would make pairs by the square of its size. So the first groups
+are also made of neighbours: of the sets that share one of their ``SMALLEST`` smallest
+shingles, whether frequent or not, each with the next two by length, compared exactly too. Prefix filtering pairs no two sets of a
+group, so what is left of such a group are pairs with the few sets that are not in it yet.
 
 Equal sets are compared once. Shingles are 64-bit hashes.
 """
@@ -23,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, open_fs, scratch, slices, take_turn, written
@@ -32,8 +37,11 @@ from .suffix_lm import MAPPED_FILES, _mapped, mix, word_hashes
 
 WIDTH = 5
 LEAST = (4, 5)
-#: Rows whose shingles are counted for the order, at most about twice that, and how many frequent shingles are kept.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Rows whose shingles are counted for the order, a twelfth of them at least - a bucket that the sample doesn't notice must
+#: not grow with the table - and how many frequent shingles are kept, a quarter as many as rows at least.
+SAMPLE, THIN, FREQUENT = 20_000, 12, 200_000
+#: Smallest shingles of a set, by which it gets neighbours for the first groups.
+SMALLEST = 3
 FEW_SETS = 2_000_000
 _R = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
@@ -123,6 +131,16 @@ def _largest(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+def _neighbours(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of sets that are next or next but one by length among those with one of their smallest shingles."""
+    some = marks.select("sig", "n", F.explode("low").alias("h"))
+    p, q = LEAST
+    order = Window.partitionBy("h").orderBy("n", "sig")
+    two = F.array(*[F.struct(F.lead("sig", i).over(order).alias("next"), F.lead("n", i).over(order).alias("m")) for i in (1, 2)])
+    both = some.select("sig", "n", two.alias("x")).select("sig", "n", F.explode("x").alias("x")).select("sig", "n", "x.*").where((F.col("sig") != F.col("next")) & (q * F.col("n") >= p * F.col("m")))
+    return both.select(F.least("sig", "next").alias("a"), F.greatest("sig", "next").alias("b"))
+
+
 def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
     """From (k, id, text): (sig, rep) of each distinct set, and the links (a, b) of similar ones.
 
@@ -132,7 +150,8 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
     """
     kind = rows.schema["id"].dataType.simpleString()
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    thin = max(1, rows.count() // SAMPLE)
+    total = rows.count()
+    thin = max(1, min(THIN, total // SAMPLE))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn()
@@ -142,37 +161,41 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
 
     some = rows.where(F.pmod("k", F.lit(thin)) == 0).mapInArrow(count, "h long")
-    written(some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).select("h"), f"{uri}/frequent")
+    written(some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(max(FREQUENT, total // 4)), f"{uri}/frequent")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn()
-        late = np.sort(_longs(f"{uri}/frequent", "h")[0].view(np.uint64))
+        late, often = _longs(f"{uri}/frequent", "h", "count")
+        late = late.view(np.uint64)
+        order = np.argsort(late)
+        late, often = late[order], often[order]
         p, q = LEAST
         for batch in batches:
             for b in slices(batch):
-                sig, size, head, fp = [], [], [], []
+                sig, size, head, low, fp = [], [], [], [], []
                 for raw in as_bytes(b.column("text")):
                     s = shingle_set(raw)
                     n = len(s)
                     sig.append(int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]))
                     size.append(n)
+                    low.append(s[:SMALLEST].view(np.int64))
                     fp.append(majority(s))
                     if n and len(late):
-                        there = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        s = np.concatenate([s[~there], s[there]])
+                        place = np.minimum(np.searchsorted(late, s), len(late) - 1)
+                        there = late[place] == s
+                        s = np.concatenate([s[~there], s[there][np.argsort(often[place[there]], kind="stable")]])
                     head.append(s[: n - -(-p * n // q) + 1].view(np.int64))
-                ends = np.cumsum([0, *map(len, head)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(head)))
-                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("id"), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), lists], names=["k", "id", "sig", "n", "fp", "head"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (head, low)]
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("id"), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), *lists], names=["k", "id", "sig", "n", "fp", "head", "low"])
 
-    marks = written(rows.mapInArrow(sign, f"k long, id {kind}, sig long, n int, fp long, head array<long>"), f"{uri}/marks")
+    marks = written(rows.mapInArrow(sign, f"k long, id {kind}, sig long, n int, fp long, head array<long>, low array<long>"), f"{uri}/marks")
     classes = written(marks.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("rep"), F.first("fp").alias("fp")), f"{uri}/sets")
 
     # the pigeonring's pairs: sets of one fingerprint with the least of them, and the least ones of linked fingerprints
     least = written(classes.groupBy("fp").agg(F.min("sig").alias("least")), f"{uri}/fingerprints")
     ends = hamming_links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     same = classes.join(least, "fp").where("sig <> least").select(F.col("least").alias("a"), F.col("sig").alias("b"))
-    ring = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same).distinct(), f"{uri}/ring-pairs")
+    ring = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same).union(_neighbours(marks)).distinct(), f"{uri}/ring-pairs")
     near = similar_pairs(rows, classes, ring, f"{uri}/ring")
     groups = written(components(near, f"{uri}/ring-roots"), f"{uri}/groups")
     grouped = groups.count() <= FEW_SETS

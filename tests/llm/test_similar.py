@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 
 from loamgrid.llm import similar as sm
 
@@ -71,3 +72,25 @@ def test_stage_searches_fingerprints_by_pigeonring_first(spark, monkeypatch):
     monkeypatch.setattr(sm, "hamming_links", lambda fps, *a: seen.append({r[0] for r in fps.collect()}) or search(fps, *a))
     assert {r[0] for r in cp.deduplicated(spark, d, "").collect()} == naive_kept(rows)
     assert seen == [{sm.majority(sm.shingle_set((t or "").encode())) for _, t in rows}]
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    w = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(f"x{rng.randrange(9999)}" if k in {c, 299 - c} else x for k, x in enumerate(w)), c) for i, c in enumerate(rng.randrange(150) for _ in range(80))]
+    d = spark.createDataFrame([r[:2] for r in rows], "id long, text string").selectExpr("id as k", "id", "text")
+    classes, links = sm.similar_sets(d, f"file://{tmp_path}")
+    assert classes.count() == 80 and links.count() < 600  # of 3,160 pairs, all of which are similar
+    assert spark.read.parquet(f"file://{tmp_path}/pairs").count() < 600
+    assert [r[0] for r in sm.keep_one_similar(d.select("id", "text"), id_col="id").collect()] == [0]
+
+
+def test_pairs_of_different_groups_as_by_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        m = int(rng.integers(1, 60))
+        sig = np.arange(m)
+        h, n, at, group = rng.integers(0, 4, m), rng.integers(5, 12, m), rng.integers(0, 2, m), rng.integers(0, 5, m)
+        got = [tuple(x) for both in sm._pairs(h, sig, n, at, group) for x in both.tolist()]
+        want = {(i, j) for i in range(m) for j in range(i + 1, m) if h[i] == h[j] and group[i] != group[j] and sm.similar(min(n[i] - at[i], n[j] - at[j]), n[i], n[j])}
+        assert len(got) == len(set(got)) and set(got) == want
