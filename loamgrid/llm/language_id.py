@@ -21,14 +21,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fold_of, keeper, sample_by_label, slices, take_turn
+from ._shared import fold_of, forget, in_turn, keeper, sample_by_label, slices, take_turn
 
 BLOCK = 512
 SYMBOLS = 64
@@ -146,7 +146,7 @@ def _compiled(key: tuple) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float
     return table, out
 
 
-keeper("language", _compiled.cache_clear)
+keeper("language", partial(forget, _compiled))
 
 
 def _phrases(parts: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
@@ -261,13 +261,12 @@ def keep_identified(docs: DataFrame, models: LanguageModels, text: str = "text",
     key, schema = models.key, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn("language")
         for batch in batches:
             for b in slices(batch, text):
                 lang, score, _ = score_texts(b.column(text).to_pylist(), key)
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(in_turn(run, "language"), schema)
 
 
 def op1_cross_parsing(spark, sf_dir: str) -> DataFrame:

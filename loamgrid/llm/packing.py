@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SLICE_BYTES, read_table, take_turn
+from ._shared import SLICE_BYTES, in_turn, read_table
 from .tokens import default_vocabulary, encoder
 
 WINDOW = 8192
@@ -111,7 +111,6 @@ def pack_examples(df: DataFrame, vocabulary: str, parts: str, id_col: str = "doc
         raise ValueError("limits are 1 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn("tokens")
         enc = encoder(vocabulary)
         sequence = TaskContext.get().partitionId() << 33
         rests: list[tuple] = []
@@ -161,7 +160,7 @@ def pack_examples(df: DataFrame, vocabulary: str, parts: str, id_col: str = "doc
                     yield from flush()
         yield from flush()
 
-    out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {_TYPES[k]}" for n, k in _FIELDS))
+    out = src.mapInArrow(in_turn(run, "tokens"), f"id {src.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {_TYPES[k]}" for n, k in _FIELDS))
     return out.withColumnRenamed("id", id_col)
 
 

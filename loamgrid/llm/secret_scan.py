@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, slices, take_turn
+from ._shared import as_bytes, in_turn, slices, take_turn
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -167,7 +167,6 @@ def redact_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars"
     at, size = names.index(text), names.index(chars) if chars in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn()
         for batch in batches:
             for b in slices(batch, text):
                 old = as_bytes(b.column(at))
@@ -178,7 +177,7 @@ def redact_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars"
                     cols[size] = pa.array([n if x == y else len(y.decode()) for n, x, y in zip(cols[size].to_pylist(), old, new)], b.schema.field(size).type)
                 yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(in_turn(run), schema)
 
 
 def op9_anchored_secrets(spark, sf_dir: str) -> DataFrame:

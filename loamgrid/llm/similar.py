@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, open_fs, scratch, slices, take_turn, written
+from ._shared import as_bytes, in_turn, open_fs, scratch, slices, written
 from .simhash_dedup import components, hamming_links, majority
 from .suffix_lm import MAPPED_FILES, _mapped, mix, word_hashes
 
@@ -154,17 +154,15 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
     thin = max(1, min(THIN, total // SAMPLE))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn()
         for batch in batches:
             for b in slices(batch):
                 h = [shingle_set(x) for x in as_bytes(b.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
 
-    some = rows.where(F.pmod("k", F.lit(thin)) == 0).mapInArrow(count, "h long")
+    some = rows.where(F.pmod("k", F.lit(thin)) == 0).mapInArrow(in_turn(count), "h long")
     written(some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(max(FREQUENT, total // 4)), f"{uri}/frequent")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn()
         late, often = _longs(f"{uri}/frequent", "h", "count")
         late = late.view(np.uint64)
         order = np.argsort(late)
@@ -188,7 +186,7 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (head, low)]
                 yield pa.RecordBatch.from_arrays([b.column("k"), b.column("id"), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), *lists], names=["k", "id", "sig", "n", "fp", "head", "low"])
 
-    marks = written(rows.mapInArrow(sign, f"k long, id {kind}, sig long, n int, fp long, head array<long>, low array<long>"), f"{uri}/marks")
+    marks = written(rows.mapInArrow(in_turn(sign), f"k long, id {kind}, sig long, n int, fp long, head array<long>, low array<long>"), f"{uri}/marks")
     classes = written(marks.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("rep"), F.first("fp").alias("fp")), f"{uri}/sets")
 
     # the pigeonring's pairs: sets of one fingerprint with the least of them, and the least ones of linked fingerprints
@@ -225,7 +223,7 @@ def similar_sets(rows: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
 
     known = marks if grouped else marks.join(groups, marks["sig"] == groups["node"], "left")
     heads = known.select(F.posexplode("head").alias("at", "h"), "sig", "n", *([] if grouped else [F.coalesce("root", "sig").alias("group")])).select("h", "sig", "n", "at", *([] if grouped else ["group"])).repartition(tasks, "h")
-    pairs = written(heads.mapInArrow(meet, "a long, b long").distinct(), f"{uri}/pairs")
+    pairs = written(heads.mapInArrow(in_turn(meet), "a long, b long").distinct(), f"{uri}/pairs")
     return classes, near.union(similar_pairs(rows, classes, pairs, f"{uri}/rest"))
 
 
@@ -266,7 +264,7 @@ def similar_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, uri: st
             out.close()
 
     texts = rows.select("k", "text") if few else rows.select("k", "text").join(wanted, "k")
-    sets = written(texts.mapInArrow(fetch, "sig long, file long, start long, n long").dropDuplicates(["sig"]), f"{uri}/members")
+    sets = written(texts.mapInArrow(in_turn(fetch), "sig long, file long, start long, n long").dropDuplicates(["sig"]), f"{uri}/members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
@@ -294,7 +292,7 @@ def similar_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, uri: st
 
     where = lambda end, k: sets.select(F.col("sig").alias(end), F.col("file").alias(k + "f"), F.col("start").alias(k + "s"), F.col("n").alias(k + "n"))
     both = pairs.join(where("b", "y"), "b").join(where("a", "x"), "a").select("a", "b", "xf", "xs", "xn", "yf", "ys", "yn").sortWithinPartitions("a")
-    return written(both.mapInArrow(compare, "a long, b long"), f"{uri}/links")
+    return written(both.mapInArrow(in_turn(compare), "a long, b long"), f"{uri}/links")
 
 
 def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

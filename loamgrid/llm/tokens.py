@@ -9,15 +9,13 @@ any other text is encoded by the library as it is. The ids are the same (tested)
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
 
-from ._shared import keeper
+from ._shared import forget, keeper
 
 #: Pieces that an encoder remembers; when they are more, the half that was met most often stays.
 CACHE = 500_000
@@ -150,15 +148,7 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _let_go() -> None:
-    if encoder.cache_info().currsize:
-        encoder.cache_clear()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc: freed pages go back to the system
-            trim(0)
-
-
-keeper("tokens", _let_go)
+keeper("tokens", partial(forget, encoder))
 
 
 def default_vocabulary() -> str:
