@@ -146,6 +146,31 @@ def test_many_files_stay_mapped(tmp_path):
     lm._files.clear()
 
 
+@pytest.mark.parametrize("keys", [[], [7], [3, 3, 1], [2**63, 2**63, 5, 2**64 - 1], [2**40 + x % 3 for x in range(50)], [2**60 + x * 7 % 5000 for x in range(9000)], [2**62 + x % 3 if x % 50 == 0 else x * 0x9E3779B97F4A7C15 % 2**64 for x in range(3000)]])
+def test_order_of_keys_that_agree_in_leading_bits(keys):
+    keys = np.array(keys, np.uint64)
+    order, ranked = lm._order(keys)
+    assert order.tolist() == np.argsort(keys, kind="stable").tolist() and (ranked == keys[order]).all()
+    names, which = lm._distinct(keys)
+    assert names.tolist() == np.unique(keys).tolist() and (names[which] == keys).all()
+
+
+def test_hashes_are_sorted_as_values(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys, weights = rng.integers(0, 1 << 63, 3000, np.uint64)[rng.integers(0, 3000, 10_000)], rng.integers(0, 3, 10_000)
+    argsort, slow = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: slow.append(len(a)) or argsort(a, *x, **y))
+    counted, repeats = lm._counted(keys, weights), lm._repeats(keys)
+    pairs, pair = lm._pairs(np.arange(10_000), keys, np.array([0, 17]))
+    monkeypatch.undo()
+    assert sum(slow) < 100
+    total, often = Counter(), Counter(keys.tolist())
+    for k, w in zip(keys.tolist(), weights.tolist()):
+        total[k] += w
+    assert counted.tolist() == [total[k] for k in keys.tolist()] and repeats.tolist() == [often[k] for k in keys.tolist()]
+    assert len(set(pairs.tolist())) == len(pairs) and pair[16] == len(pairs) - 1 and np.bincount(pair)[-1] == 1
+
+
 def test_a_word_repeated_many_times(spark):
     rows = [(1, "go " * 50_000, True), (2, "go " * 30_000 + "stop", True), (3, "go " * 40_000, False), (4, "stop here", True)]
     got = {r["doc_id"]: r for r in lm.score_unbounded(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
