@@ -2,6 +2,7 @@ import json
 import zlib
 from base64 import b64encode
 
+import pytest
 from pyspark.sql import functions as F
 
 from loamgrid import sources
@@ -108,6 +109,65 @@ def test_echo_of_many_copies(spark):
     assert rows(got, "doc_id", "source", "shared", "rank") == sorted(want)
 
 
+def shuffled(spark, find):
+    """Rows of ``find`` and the records that its stages shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return find(), total() - before
+
+
+def test_echo_of_a_crowded_line(spark):
+    """A line of many documents, whose rests differ, makes no pairs of them."""
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, line + " " + " ".join(f"u{i}x{j}" for j in range(20))) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got, n = shuffled(spark, lambda: rows(content.echo_source_counts(d, "doc_id", "text"), "doc_id", "source", "shared", "rank"))
+    assert got == sorted((i, j, 56, r) for i in range(400) for r, j in enumerate([x for x in range(4) if x != i][:3], 1))
+    assert n < 100_000
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 4, 9])
+def test_echo_by_levels(spark, monkeypatch, crowd):
+    """Documents of crowded and rare lines in all mixtures: the same sources as by comparing all documents."""
+    import random
+
+    monkeypatch.setattr(content, "CROWD", crowd)
+    rng = random.Random(crowd)
+    lines = [" ".join(f"{c}{i}" for i in range(10 + n)) for n, c in enumerate("abcdefghij")]
+    docs = [(i, " ".join([x for n, x in enumerate(lines) if rng.random() < 1 / (1 + n / 2)] + [f"r{rng.randrange(25)}q{j}" for j in range(rng.randrange(12))])) for i in range(80)]
+    runs = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in docs for w in [t.split()] if len(w) >= 25}
+    want = []
+    for i, s in runs.items():
+        if sum(any(x in runs[j] for j in runs if j != i) for x in s) >= 0.5 * len(s):
+            found = sorted((-len(s & runs[j]), j) for j in runs if j != i and s & runs[j])[:3]
+            want += [(i, j, -m, r) for r, (m, j) in enumerate(found, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(content.echo_source_counts(d, "doc_id", "text"), "doc_id", "source", "shared", "rank") == sorted(want)
+
+
+def test_echo_of_repeated_keys(spark):
+    """Rows of one key are one document; its repeated shingles count once."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    d = spark.createDataFrame([(1, a), (1, a), (1, b), (2, b), (None, a + " " + a)], "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r[1:3]) for r in content.echo_fractions(d, "doc_id", "text").collect()}
+    assert got == {1: (52, 52), 2: (26, 26), None: (30, 26)}
+
+
+@pytest.mark.parametrize("find", [content.echo_fractions, content.longest_echoed_run])
+def test_echo_shuffles_shingles_once(spark, find):
+    docs = [(i, " ".join(f"w{i // 2}x{j}" for j in range(500))) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    _, n = shuffled(spark, lambda: find(d, "doc_id", "text").collect())
+    # all shingles, then what their documents or runs need
+    assert n < 2.2 * 40 * 496
+
+
 def test_report_files(spark, tmp_path):
     from loamgrid.operators import sinks
 
