@@ -55,16 +55,18 @@ def markup_quirks(messages: DataFrame) -> DataFrame:
     return e.groupBy("message").agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_pages"), F.array_sort(F.collect_set("url")).alias("pages"), F.min_by("extract", "url").alias("extract")).orderBy(F.desc("n"), "message")
 
 
-def integrity(captures: DataFrame, files: DataFrame) -> DataFrame:
+def integrity(captures: DataFrame, files: DataFrame, *keep: str) -> DataFrame:
     """(url, problem): missing files, changed bytes, shared paths, pages that aren't HTML.
 
     ``captures``: url, local_path, content_hash, content_type; ``files``: path, content.
+    Columns of the captures named in ``keep`` go along, as several captures may have one URL.
     """
+    own = ["url", *keep]
     f = files.select(F.col("path").alias("__p"), F.sha2("content", 256).alias("__h"))
     at = captures.where(F.col("local_path").isNotNull()).join(f, F.col("local_path") == F.col("__p"), "left")
-    stored = at.select("url", F.when(F.col("__p").isNull(), F.lit("file_missing")).when(F.col("__h") != F.col("content_hash"), F.lit("hash_mismatch")).alias("problem")).where("problem IS NOT NULL")
-    shared = captures.where(F.col("local_path").isNotNull()).withColumn("__n", F.count("*").over(Window.partitionBy("local_path"))).where("__n > 1").select("url", F.lit("shared_path").alias("problem"))
-    shape = captures.where(F.col("url").endswith("/") & F.col("content_type").isNotNull() & ~F.lower(F.trim(F.substring_index("content_type", ";", 1))).isin("text/html", "application/xhtml+xml")).select("url", F.lit("shape_mismatch").alias("problem"))
+    stored = at.select(*own, F.when(F.col("__p").isNull(), F.lit("file_missing")).when(F.col("__h") != F.col("content_hash"), F.lit("hash_mismatch")).alias("problem")).where("problem IS NOT NULL")
+    shared = captures.where(F.col("local_path").isNotNull()).withColumn("__n", F.count("*").over(Window.partitionBy("local_path"))).where("__n > 1").select(*own, F.lit("shared_path").alias("problem"))
+    shape = captures.where(F.col("url").endswith("/") & F.col("content_type").isNotNull() & ~F.lower(F.trim(F.substring_index("content_type", ";", 1))).isin("text/html", "application/xhtml+xml")).select(*own, F.lit("shape_mismatch").alias("problem"))
     return stored.unionByName(shared).unionByName(shape)
 
 
